@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of other scripts that look like a Latin letter, with that letter.
 LOOK_ALIKES = {
@@ -136,7 +137,7 @@ def with_canonical(df: DataFrame, text: str, into: str = "canonical") -> DataFra
     """df with the canonical form of a text column. A null text stays null and an empty one empty; a text of any length
     is rewritten whole; repeated rows stay. If df has a column of the new name, it is replaced."""
     kept = df.drop(into)
-    schema = kept.schema.add(into, "string")
+    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.StringType())])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
