@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="lexmill-checkpoint-")
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: its source goes to every executor through Spark's file server, once for
+    a context, unless the workers' path already holds it."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in on_path or getattr(sc, "_lexmill_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="lexmill-package-"))
+    archive = folder / "lexmill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "lexmill").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._lexmill_shipped = True
