@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip_pos_suffix
-from lexmill.llm import copies, lookalike
-from lexmill.session import table
+from lexmill.llm import copies, lookalike, mixing, splitting, tokens
+from lexmill.session import cut_lineage, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,50 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(table(spark, sf_dir, "metadata")).select("first_row_id", "copies")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.counted(table(spark, sf_dir, "documents"), targets), targets
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.source_totals(*_sizes(spark, sf_dir)).filter("short").select("source")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir)
+    return mixing.mix(cut_lineage(sizes), targets)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir)
+    sizes = cut_lineage(sizes)
+    return mixing.reached(mixing.mix(sizes, targets), mixing.source_totals(sizes, targets))
+
+
+def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shares tempered to the entropy of the target shares, and to the repetition limits."""
+    sizes, targets = _sizes(spark, sf_dir)
+    sources = mixing.read_sources(mixing.source_totals(sizes, targets))
+    of = {s.name: s.tokens for s in sources}
+    by_entropy = mixing.exponent_for_entropy(of, mixing.entropy({s.name: s.target for s in sources}))
+    by_repeats = mixing.exponent_for_repeats(of, {s.name: float(s.max_repeats) for s in sources})
+    a, b = mixing.tempered(of, by_entropy), mixing.tempered(of, by_repeats)
+    rows = [(s, n, round(by_entropy, 6), round(a[s], 6), round(by_repeats, 6), round(b[s], 6)) for s, n in of.items()]
+    return spark.createDataFrame(rows, "source string, tokens long, entropy_exponent double, entropy_share double, repeats_exponent double, repeats_share double")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf_dir, "documents"))
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_texts(table(spark, sf_dir, "documents"))
+
+
 _BAG = r"list_sort(list_filter(string_split(regexp_replace(lower(definition), '[^\p{L}\p{N};]+', '', 'g'), ';'), lambda g: g <> ''))"
 _COPIES = rf"""
 SELECT min(row_id) OVER w AS first_row_id, row_id, count(*) OVER w AS copies
@@ -32,7 +76,7 @@ WHERE hw <> '' AND len(bag) > 0
 WINDOW w AS (PARTITION BY source, pos, hw, bag)
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL = {
     "p4_found": f"SELECT first_row_id, row_id FROM ({_COPIES}) WHERE row_id <> first_row_id",
     "p4_counts": f"SELECT first_row_id, copies FROM ({_COPIES}) WHERE row_id = first_row_id",
