@@ -26,7 +26,7 @@ LEAST_FILL = 0.5
 LEVELS = ("paragraph", "line", "sentence", "word")
 _SENTENCE_END = regex.compile(r"""[.!?…。！？؟]["'”’»)\]]*\s*""")
 _BLANK_LINE = regex.compile(r"(\r\n?|\n)[^\S\r\n]*(\r\n?|\n)")
-_LINE_END = regex.compile(r"[\r\n  ]")
+_LINE_END = regex.compile(r"[\r\n\u2028\u2029]")
 
 
 def boundaries(words: list[str], ends: list[int]) -> dict[str, list[int]]:
