@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,20 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder that the session names in spark.checkpoint.dir.
-
-    The folder is set here only where the session names none, as in local tests; a cluster must name a folder that all
-    executors share, so that the cut survives the loss of an executor.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="lexmill-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder that the session names in spark.checkpoint.dir.
+
+    The folder is set here only where the session names none, as in local tests; a cluster must name a folder that all
+    executors share, so that the cut survives the loss of an executor.
+    """
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -61,3 +67,12 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root))
     sc.addPyFile(str(archive))
     sc._lexmill_shipped = True
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read back: a lineage cut that is compressed and
+    columnar, so that later stages read only the columns they need. The folder lives as long as the checkpoints do."""
+    spark = df.sparkSession
+    path = f"{_checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
