@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip_pos_suffix
-from lexmill.llm import copies, lookalike, mixing, splitting, tokens
+from lexmill.llm import copies, linkage, lookalike, mixing, neighbours, splitting, tokens
 from lexmill.session import cut_lineage, table
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.match(table(spark, sf_dir, "metadata"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_matches(spark, sf_dir).select("row_id_a", "row_id_b")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "metadata").select(F.lit("metadata").alias("origin"), F.col("row_id").alias("row_key"), F.col("headword").alias("text"))
     tokens = table(spark, sf_dir, "ngram_counts").select(F.lit("ngram_counts").alias("origin"), F.col("ngram_id").alias("row_key"), strip_pos_suffix(F.col("token")).alias("text"))
@@ -24,6 +32,11 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(table(spark, sf_dir, "metadata")).select("first_row_id", "copies")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "sense_embeddings"))
+    return found.select(F.col("id").alias("row_id"), "neighbour_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -76,7 +89,7 @@ WHERE hw <> '' AND len(bag) > 0
 WINDOW w AS (PARTITION BY source, pos, hw, bag)
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL = {
     "p4_found": f"SELECT first_row_id, row_id FROM ({_COPIES}) WHERE row_id <> first_row_id",
     "p4_counts": f"SELECT first_row_id, copies FROM ({_COPIES}) WHERE row_id = first_row_id",
