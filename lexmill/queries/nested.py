@@ -20,5 +20,23 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.groupBy("tag").agg(F.count("*").alias("n_rows"), F.count("parent").alias("n_linked"), F.count_distinct("line_no").alias("n_lines"))
 
 
+_AS_LIST = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN [] WHEN json_type({0}) = 'ARRAY' THEN json_extract({0}, '$[*]') ELSE [{0}] END"
+_USABLE = r"json_type(t) = 'VARCHAR' AND regexp_matches(t ->> '$', '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]')"
+_KINDS = {"gloss": ("glosses", None), "tag": ("tags", None), "example": ("examples", "text"), "form_of": ("form_of", "word")}
+
+
+def _kind_sql(kind: str) -> str:
+    field, inner = _KINDS[kind]
+    text = f"CASE WHEN json_type(x) = 'OBJECT' THEN json_extract(x, '$.{inner}') ELSE x END" if inner else "x"
+    return f"""SELECT line_no, sense_no, '{kind}' AS item_kind, item_no FROM (SELECT line_no, sense_no, item_no, {text} AS t FROM
+ (SELECT line_no, sense_no, unnest(items) AS x, (unnest(generate_series(1, len(items))) - 1)::INT AS item_no FROM
+ (SELECT line_no, sense_no, {_AS_LIST.format(f"json_extract(s, '$.{field}')")} AS items FROM senses WHERE json_type(s) = 'OBJECT'))) WHERE {_USABLE}"""
+
+
+_FOUND_SQL = f"""WITH entries AS (SELECT line_no, line::JSON AS j FROM (SELECT line_no, line FROM wiktextract_raw WHERE line IS NOT NULL AND coalesce(json_valid(line), false)) WHERE json_type(line) = 'OBJECT'),
+ lists AS (SELECT line_no, {_AS_LIST.format("json_extract(j, '$.senses')")} AS l FROM entries),
+ senses AS (SELECT line_no, unnest(l) AS s, (unnest(generate_series(1, len(l))) - 1)::INT AS sense_no FROM lists)
+ {" UNION ALL ".join(_kind_sql(k) for k in _KINDS)}"""
+
 QUERIES = {"p2_found": p2_found, "p2_links": p2_links}
-SQL: dict[str, str] = {}
+SQL = {"p2_found": _FOUND_SQL}
