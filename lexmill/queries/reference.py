@@ -163,11 +163,14 @@ def _structural(query: str, **options: object) -> Query:
     return lambda s, d: Lexicon(sense_index(s, d)).search(query, **options).candidates.select("rank", "headword", "pos", "definition", "relevance", F.round("zipf", 6).alias("zipf"))
 
 
-def _structural_sql(condition: str, n: int, order: str = "place") -> str:
+def _structural_base(condition: str, n: int) -> str:
     top = f"""SELECT *, coalesce(zipf, 0.0) AS score FROM {_INDEX} i WHERE first AND {condition} ORDER BY score DESC, headword_lc LIMIT {n}"""
-    scaled = f"""SELECT *, row_number() OVER (ORDER BY score DESC, headword_lc) AS place,
+    return f"""SELECT *, row_number() OVER (ORDER BY score DESC, headword_lc) AS place,
  (CASE WHEN max(score) OVER () = min(score) OVER () THEN 50 ELSE round_even((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) * 100, 0) END)::INT AS relevance FROM ({top})"""
-    return f"SELECT row_number() OVER (ORDER BY {order}) AS rank, headword, pos, definition, relevance, round(zipf, 6) AS zipf FROM ({scaled})"
+
+
+def _structural_sql(condition: str, n: int, order: str = "place") -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS rank, headword, pos, definition, relevance, round(zipf, 6) AS zipf FROM ({_structural_base(condition, n)})"
 
 
 _TH = "headword_lc LIKE 'th%' AND headword_lc NOT LIKE E'th%\\n_%'"
@@ -319,9 +322,33 @@ def _rows(s: SparkSession, d: str) -> DataFrame:
     return rows.select("position", "headword", "pos", "label", "polarity", F.array_join("synonyms", ",").alias("synonyms"), "relevance", "is_exact")
 
 
-_add("result_rows_flat", _rows)
-_add("result_lines", lambda s, d: Lexicon(sense_index(s, d)).search("th*", top_n=30).rows().select("position", result_line(F.col("position")).alias("line")))
-_add("result_previews", lambda s, d: Lexicon(sense_index(s, d)).search("th*", top_n=30).candidates.select("rank", candidate_preview().alias("preview")))
+_EXACT = f"SELECT * FROM {_VECTORS} WHERE headword_lc = 'coarse' ORDER BY row_id LIMIT 1"
+_COARSE_WORDS = "len(list_distinct(list_intersect(regexp_split_to_array(lower(coalesce(definition, '')), '[^a-z0-9]+'), ['coarse']))) * 10.0"
+_COARSE = f"""(SELECT * EXCLUDE (place), row_number() OVER (ORDER BY score DESC, seen) AS place, round_even(100 * (1 / (1 + exp(-score))), 0)::INT AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY headword_lc ORDER BY score DESC, place) AS n,
+ min(place) OVER (PARTITION BY headword_lc) AS seen FROM (SELECT *, round({_COARSE_WORDS} + coalesce(zipf, 0.0), 6) AS score FROM ({_pool_sql(75)}))) WHERE n = 1 AND headword_lc <> 'coarse' ORDER BY score DESC, seen LIMIT 20)"""
+_JOINED = "coalesce(list_aggregate(synonyms, 'string_agg', ','), '')"
+_add(
+    "result_rows_flat",
+    _rows,
+    f"""SELECT row_number() OVER (ORDER BY place) - 1 AS position, headword, pos, label, polarity, synonyms, relevance, is_exact FROM (
+ SELECT 0 AS place, 'coarse' AS headword, pos, label, polarity, {_JOINED} AS synonyms, 100 AS relevance, true AS is_exact FROM ({_emotion_sql(f'({_EXACT})')})
+ UNION ALL SELECT place, headword, pos, label, polarity, {_JOINED}, relevance, false FROM ({_emotion_sql(_COARSE)}))""",
+)
+_LINE_ROWS = _emotion_sql(f"({_structural_base(_TH, 30)})")
+_TAB = "chr(9)"
+_add(
+    "result_lines",
+    lambda s, d: Lexicon(sense_index(s, d)).search("th*", top_n=30).rows().select("position", result_line(F.col("position")).alias("line")),
+    f"""SELECT place - 1 AS position, '  ' || headword || {_TAB} || '(' || coalesce(pos, '') || ') ' || coalesce(CASE WHEN len(definition) > 70 THEN definition[1:67] || '...' ELSE definition END, '') || {_TAB}
+ || '[' || label || ' · ' || polarity || ']' || {_TAB} || relevance || '%' || {_TAB} || (place - 1) || {_TAB} || headword AS line FROM ({_LINE_ROWS})""",
+)
+_add(
+    "result_previews",
+    lambda s, d: Lexicon(sense_index(s, d)).search("th*", top_n=30).candidates.select("rank", candidate_preview().alias("preview")),
+    f"""SELECT place AS rank, concat_ws(chr(10), headword || ' (' || coalesce(pos, '') || ')', '', coalesce(definition, ''), '', 'Emotion: ' || label || ' · ' || polarity, 'Match confidence: ' || relevance || '%',
+ CASE WHEN len(synonyms) > 0 THEN 'Synonyms: ' || list_aggregate(synonyms, 'string_agg', ', ') END,
+ CASE WHEN len(examples) > 0 THEN chr(10) || list_aggregate(list_transform(examples, lambda x: '"' || x || '"'), 'string_agg', chr(10)) END) AS preview FROM ({_LINE_ROWS})""",
+)
 
 # --- ingest ---
 
@@ -331,7 +358,21 @@ def _gloss(s: SparkSession, d: str) -> DataFrame:
     return kept.select("line_no", "sense_no", "headword", "pos", "definition", F.array_join("examples", "|").alias("examples"), F.array_join("tags", "|").alias("tags"))
 
 
-_add("ingest_wiktionary", _gloss)
+_AS_LIST = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN NULL WHEN json_type({0}) = 'ARRAY' THEN json_extract({0}, '$[*]') ELSE [{0}] END"
+_TEXTS = "coalesce(list_transform(list_filter({0}, lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), [])"
+_add(
+    "ingest_wiktionary",
+    _gloss,
+    f"""WITH e AS (SELECT line_no, line::JSON AS j FROM (SELECT line_no, line FROM wiktextract_raw WHERE line IS NOT NULL AND coalesce(json_valid(line), false)) WHERE json_type(line) = 'OBJECT'),
+ k AS (SELECT line_no, j ->> '$.word' AS word, j ->> '$.pos' AS pos, {_AS_LIST.format("json_extract(j, '$.senses')")} AS l FROM e WHERE j ->> '$.lang_code' = 'en' AND j ->> '$.word' <> '' AND j ->> '$.pos' <> ''),
+ s AS (SELECT line_no, word, pos, unnest(l) AS s, (unnest(generate_series(1, len(l))) - 1)::INT AS sense_no FROM k),
+ t AS (SELECT line_no, sense_no, word, pos, {_TEXTS.format(_AS_LIST.format("json_extract(s, '$.tags')"))} AS tags, {_TEXTS.format(_AS_LIST.format("json_extract(s, '$.glosses')"))} AS glosses,
+  {_AS_LIST.format("json_extract(s, '$.form_of')")} AS forms, list_filter(list_transform(coalesce({_AS_LIST.format("json_extract(s, '$.examples')")}, []), lambda x: x ->> '$.text'), lambda x: x <> '') AS examples FROM s)
+ SELECT line_no, sense_no, word AS headword, CASE pos WHEN 'adj' THEN 'adjective' WHEN 'adv' THEN 'adverb' ELSE pos END AS pos,
+ CASE WHEN len(glosses) = 1 THEN glosses[1] ELSE list_aggregate(list_transform(glosses, lambda g: regexp_replace(g, '\.+$', '')), 'string_agg', '; ') || '.' END AS definition,
+ coalesce(list_aggregate(examples, 'string_agg', '|'), '') AS examples, coalesce(list_aggregate(tags, 'string_agg', '|'), '') AS tags
+ FROM t WHERE forms IS NULL AND len(glosses) > 0 AND NOT list_contains(tags, 'form-of') AND NOT list_contains(tags, 'alt-of')""",
+)
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:

@@ -58,26 +58,39 @@ def combine_glosses(glosses: Column) -> Column:
     return F.when(F.size(glosses) == 1, glosses[0]).otherwise(joined)
 
 
+def _list(value: Column, path: str) -> Column:
+    """The values at a path as an array: those of a list, or a lone value; null if absent or JSON null."""
+    lone = F.try_variant_get(value, path, "variant")
+    lone = F.when(lone.isNotNull() & ~F.is_variant_null(lone), F.array(lone))
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), lone)
+
+
+def _is_string(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
+def _strings(values: Column) -> Column:
+    """The strings among the values."""
+    return F.transform(F.filter(values, _is_string), lambda v: F.try_variant_get(v, "$", "string"))
+
+
 def wiktionary_senses(lines: DataFrame, line: str = "line", carry: tuple[str, ...] = ()) -> DataFrame:
-    """English senses with a gloss, apart from inflected and alternative forms. A line or field of another shape counts
-    as absent. carry: other columns to keep."""
-    entries = lines.select(*carry, F.from_json(line, schema.WIKTIONARY_LINE).alias("e"))
-    entries = entries.filter((F.col("e.lang_code") == "en") & (F.col("e.word") != "") & (F.col("e.pos") != ""))
-    senses = entries.select(*carry, "e.word", "e.pos", F.posexplode("e.senses").alias("sense_no", "s"))
-    tags = F.coalesce("s.tags", F.array().cast("array<string>"))
-    formed = F.array_contains(tags, "form-of") | F.array_contains(tags, "alt-of") | F.col("s.form_of").isNotNull()
-    kept = senses.filter(~F.coalesce(formed, F.lit(False)) & (F.size(F.coalesce("s.glosses", F.array().cast("array<string>"))) > 0))
-    examples = F.filter(F.transform(F.coalesce("s.examples", F.array().cast("array<struct<text:string>>")), lambda x: x["text"]), lambda t: t != "")
-    return kept.select(
-        *carry,
-        "sense_no",
-        F.col("word").alias("headword"),
-        _mapped(WIKTIONARY_POS, F.col("pos")).alias("pos"),
-        combine_glosses(F.col("s.glosses")).alias("definition"),
-        examples.alias("examples"),
-        F.lit("wiktionary").alias("source"),
-        tags.alias("tags"),
-    )
+    """English senses with a gloss, apart from inflected and alternative forms.
+
+    Lines that don't hold a JSON object, senses that aren't objects, and list members of another kind than expected
+    count as absent; a lone value counts as a list of one. carry: other columns to keep.
+    """
+    # generated, so that filters on fields don't parse the line again
+    entries = lines.select(*carry, F.explode(F.array(F.try_parse_json(line))).alias("e"))
+    field = lambda name: F.try_variant_get("e", f"$.{name}", "string")
+    entries = entries.filter((field("lang_code") == "en") & (field("word") != "") & (field("pos") != ""))
+    senses = entries.select(*carry, field("word").alias("word"), field("pos").alias("pos"), F.posexplode(_list(F.col("e"), "$.senses")).alias("sense_no", "s"))
+    none = F.array().cast("array<string>")
+    tags, glosses = F.coalesce(_strings(_list(F.col("s"), "$.tags")), none), F.coalesce(_strings(_list(F.col("s"), "$.glosses")), none)
+    texts = F.transform(_list(F.col("s"), "$.examples"), lambda x: F.try_variant_get(x, "$.text", "string"))
+    rows = senses.select(*carry, "sense_no", "word", "pos", tags.alias("tags"), glosses.alias("glosses"), F.coalesce(F.filter(texts, lambda t: t != ""), none).alias("examples"), F.size(_list(F.col("s"), "$.form_of")).alias("forms"))
+    kept = rows.filter(~F.array_contains("tags", "form-of") & ~F.array_contains("tags", "alt-of") & F.col("forms").isNull() & (F.size("glosses") > 0))
+    return kept.select(*carry, "sense_no", F.col("word").alias("headword"), _mapped(WIKTIONARY_POS, F.col("pos")).alias("pos"), combine_glosses(F.col("glosses")).alias("definition"), "examples", F.lit("wiktionary").alias("source"), "tags")
 
 
 def read_wiktionary(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
