@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from lexmill.plans.search import Lexicon
 from lexmill.session import table
 from lexmill.sources.readers import NGRAM_WINDOW, recent_count, wiktionary_senses, word_counts, zipf_scale
 from lexmill.sources.sinks import candidate_preview, result_line
+from lexmill.streaming.queries import run_to_table, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -304,7 +306,10 @@ def _pool_sql(k: int, condition: str = "true") -> str:
 
 _add("search_meaning_e2e", _meaning(MEANING_TEXT, top_n=30), _meaning_sql(_pool_sql(90), 30, f"headword_lc <> '{MEANING_TEXT}'"))
 _add("search_meaning_filtered", _meaning(MEANING_TEXT, top_n=30, category="noun"), _meaning_sql(_pool_sql(90), 30, f"pos = 'noun' AND headword_lc <> '{MEANING_TEXT}'"))
-_add("search_combined_e2e", _meaning(f"s*:{MEANING_TEXT}", top_n=10), _meaning_sql(_pool_sql(75, "headword_lc LIKE 's%' AND NOT regexp_matches(headword_lc, '\\n[\\s\\S]')"), 10))
+_FITS = "headword_lc LIKE 's%' AND NOT regexp_matches(headword_lc, '\\n[\\s\\S]')"
+_COMBINED_POOL = f"""SELECT * FROM (SELECT *, CASE WHEN count(*) OVER () <= 75 THEN row_number() OVER (ORDER BY fs, row_id) ELSE row_number() OVER (ORDER BY sim DESC, row_id) END AS place
+ FROM (SELECT *, min(row_id) OVER (PARTITION BY headword_lc) AS fs, round(list_cosine_similarity(vec, q), 6) AS sim FROM {_VECTORS}, {_FIRST_VECTOR} WHERE {_FITS})) WHERE place <= 75"""
+_add("search_combined_e2e", _meaning(f"s*:{MEANING_TEXT}", top_n=10), _meaning_sql(_COMBINED_POOL, 10))
 
 # --- emotions, flat rows and lines ---
 
@@ -404,6 +409,18 @@ _COUNTS = f"(SELECT {_WORD} AS word, sum({_RECENT})::BIGINT AS n FROM ngram_coun
 _add("ngram_word_counts", lambda s, d: word_counts(table(s, d, "ngram_counts")), f"SELECT word, n FROM {_COUNTS}")
 
 
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """The same counts from a stream over the table's files."""
+    path = Path(f"{d}/ngram_counts.parquet")
+    source = s.readStream.schema("token STRING, year_counts ARRAY<STRING>")
+    if path.is_file():
+        source = source.option("pathGlobFilter", path.name)
+    return run_to_table(running_counts(source.parquet(d if path.is_file() else str(path))), "stream-counts")
+
+
+_add("stream_word_counts", _stream, SQL["ngram_word_counts"])
+
+
 def _zipf(s: SparkSession, d: str) -> DataFrame:
     """Frequencies of vocabulary words; the total is that of all words' recent counts."""
     ngrams = table(s, d, "ngram_counts")

@@ -35,7 +35,7 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="lexmill-checkpoint-")
         sc.setCheckpointDir(named)
@@ -69,10 +69,15 @@ def ship_package(spark: SparkSession) -> None:
     sc._lexmill_shipped = True
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder, under the application's id."""
+    return f"{_checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read back: a lineage cut that is compressed and
     columnar, so that later stages read only the columns they need. The folder lives as long as the checkpoints do."""
     spark = df.sparkSession
-    path = f"{_checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

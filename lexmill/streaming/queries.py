@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lexmill.plans.search import CLI_TOP_N, Lexicon
+from lexmill.session import shared_path
 from lexmill.sources.readers import word_counts
 
 
@@ -30,6 +31,17 @@ def answer_stream(queries: DataFrame, lexicon: Lexicon, sink: Callable[[DataFram
     return queries.writeStream.foreachBatch(answer)
 
 
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream over what its source holds now and read its last complete result, which each batch
+    writes anew; nothing of it passes through the driver."""
+    spark = stream.sparkSession
+    path = shared_path(spark, name)
+    writer = stream.writeStream.outputMode("complete").foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out"))
+    query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def running_counts(ngrams: DataFrame) -> DataFrame:
     """word_counts over a stream of n-gram lines; complete or update mode keeps a total for each word."""
     return word_counts(ngrams)
