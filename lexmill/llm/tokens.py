@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,10 +28,12 @@ from pyspark.sql import types as T
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pattern that cuts texts into words before merging.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: words that a worker remembers; the memory is emptied when full
-MEMORY_WORDS = 200_000
-#: distinct words that go into one recursive query
-BATCH_WORDS = 20_000
+#: words, and ids of words, that a worker remembers; the memory is emptied when full
+MEMORY_WORDS, MEMORY_IDS = 200_000, 3_000_000
+#: bytes of distinct words that go into one recursive query, a longer word alone
+BATCH_BYTES = 200_000
+#: contractions of one recursive query, of which each keeps a copy of what is left; words that aren't done go into another
+ROUNDS, ROUNDS_OF_LONG = 24, 6
 
 _CONTRACT = """
 WITH RECURSIVE state(word, pos, tok, step) AS (
@@ -47,10 +50,10 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
         ), kept AS (
             SELECT *, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone, bool_or(take) OVER (PARTITION BY word) AS goes_on FROM picked
         )
-        SELECT word, pos, CASE WHEN take THEN merged ELSE tok END, step + 1 FROM kept WHERE goes_on AND NOT gone
+        SELECT word, pos, CASE WHEN take THEN merged ELSE tok END, step + 1 FROM kept WHERE goes_on AND NOT gone AND step < {rounds}
     )
 )
-SELECT word, list(tok ORDER BY pos) AS ids
+SELECT word, list(tok ORDER BY pos) AS ids, any_value(step) AS step
 FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
 GROUP BY word
 """
@@ -83,7 +86,8 @@ class Tokenizer:
         self.letters_only = regex.compile(r" ?[A-Za-z]+")
         self.words = regex.compile(WORD_PATTERN)
         self.memory: dict[str, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.remembered = 0
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         rows = pa.table({"a": [ids[a] for a, _ in merges], "b": [ids[b] for _, b in merges], "merged": [ids[a + b] for a, b in merges], "rank": range(len(merges))})
         self.db.register("merge_rows", rows)
         self.db.execute("CREATE TABLE merges AS SELECT a::INT AS a, b::INT AS b, merged::INT AS merged, rank::BIGINT AS rank FROM merge_rows")
@@ -95,25 +99,42 @@ class Tokenizer:
     def learn(self, words: Iterable[str]) -> None:
         """Contract the words that aren't remembered."""
         new = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(new) > MEMORY_WORDS:
+        if len(self.memory) + len(new) > MEMORY_WORDS or self.remembered > MEMORY_IDS:
             self.memory.clear()
+            self.remembered = 0
             new = list(words)
         for letters_only in (True, False):
-            group = [w for w in new if (self.letters_only.fullmatch(w) is not None) == letters_only]
-            for start in range(0, len(group), BATCH_WORDS):
-                self._contract(group[start : start + BATCH_WORDS], self.reach[letters_only])
-
-    def _contract(self, words: list[str], reach: int) -> None:
-        coded = [w.encode("utf-8", "replace") for w in words]
-        word = [n for n, b in enumerate(coded) for _ in b]
-        pos = [p for b in coded for p in range(len(b))]
-        tok = [self.byte_ids[x] for b in coded for x in b]
-        pieces = pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())})
-        self.db.register("pieces", pieces)
-        done = self.db.sql(_CONTRACT.format(reach=reach)).to_arrow_table()
-        self.db.unregister("pieces")
-        for n, ids in zip(done.column("word").to_pylist(), done.column("ids").to_pylist(), strict=True):
-            self.memory[words[n]] = ids
+            batch, size = [], 0
+            for word in new:
+                if (self.letters_only.fullmatch(word) is not None) != letters_only:
+                    continue
+                coded = word.encode("utf-8", "replace")
+                if batch and size + len(coded) > BATCH_BYTES:
+                    self._contract(batch, self.reach[letters_only])
+                    batch, size = [], 0
+                batch.append((word, [self.byte_ids[x] for x in coded]))
+                size += len(coded)
+            if batch:
+                self._contract(batch, self.reach[letters_only])
+
+    def _contract(self, batch: list[tuple[str, list[int]]], reach: int) -> None:
+        """Recursive queries until every word of the batch is at its fixpoint."""
+        while batch:
+            rounds = ROUNDS if sum(len(tok) for _, tok in batch) <= BATCH_BYTES else ROUNDS_OF_LONG
+            word = np.repeat(np.arange(len(batch), dtype=np.int32), [len(tok) for _, tok in batch])
+            pos = np.concatenate([np.arange(len(tok), dtype=np.int32) for _, tok in batch])
+            tok = np.concatenate([np.asarray(tok, np.int32) for _, tok in batch])
+            self.db.register("pieces", pa.table({"word": word, "pos": pos, "tok": tok}))
+            done = self.db.sql(_CONTRACT.format(reach=reach, rounds=rounds)).to_arrow_table()
+            self.db.unregister("pieces")
+            rest = []
+            for n, ids, step in zip(done.column("word").to_pylist(), done.column("ids").to_pylist(), done.column("step").to_pylist(), strict=True):
+                if step == rounds:
+                    rest.append((batch[n][0], ids))
+                else:
+                    self.memory[batch[n][0]] = ids
+                    self.remembered += len(ids)
+            batch = rest
 
     def word_ids(self, texts: list[str | None]) -> Iterator[list[list[int]]]:
         """The ids of each word of each text; none for null and empty texts."""
