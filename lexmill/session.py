@@ -81,3 +81,10 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, spread over all of them: for small files with much work in each
+    row. A scan of enough partitions stays as it is, so nothing is shuffled at scale."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
