@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip_pos_suffix
 from lexmill.llm import copies, linkage, lookalike, mixing, neighbours, splitting, tokens
-from lexmill.session import cut_lineage, table
+from lexmill.session import cut_lineage, spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
 
 
 def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.match(table(spark, sf_dir, "metadata"))
+    return linkage.match(spread(table(spark, sf_dir, "metadata").select("row_id", "source", "headword", "definition", "pos")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +42,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_texts(table(spark, sf_dir, "documents"))
+    return tokens.encode_texts(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    return mixing.counted(table(spark, sf_dir, "documents"), targets), targets
+    return mixing.counted(_documents(spark, sf_dir, "doc_id", "source", "text"), targets), targets
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +78,11 @@ def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.oversized(table(spark, sf_dir, "documents"))
+    return splitting.oversized(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_texts(table(spark, sf_dir, "documents"))
+    return splitting.split_texts(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 _BAG = r"list_sort(list_filter(string_split(regexp_replace(lower(definition), '[^\p{L}\p{N};]+', '', 'g'), ';'), lambda g: g <> ''))"
