@@ -21,11 +21,13 @@ DIM = 64
 K = 10
 #: vectors that fit the index, those with the smallest hashes
 FIT_VECTORS = 10_000
-#: distinct vectors that a partition should hold, and the most partitions that the sample can teach
+#: distinct vectors that a partition should hold, and the sample's vectors that a partition needs to be learned: a larger
+#: sample teaches more partitions
 PARTITION_VECTORS = 400
-MOST_PARTITIONS = 128
-#: vectors of a partition that are compared as one block
+TEACHING_VECTORS = 80
+#: vectors that are compared as one block, and visits that one group of blocks of a partition serves
 BLOCK_VECTORS = 2_048
+GROUP_VISITS = 16_384
 #: share of the true neighbours of held-out sample vectors that the probed partitions must hold
 TARGET_RECALL = 0.95
 GRAPH_DEGREE = 10
@@ -186,31 +188,43 @@ def sample_vectors(distinct: DataFrame, size: int) -> np.ndarray:
     return np.stack(rows["vec"].to_numpy()) if len(rows) else np.empty((0, DIM), np.float32)
 
 
-def routed(distinct: DataFrame, router: Router, probes: int) -> DataFrame:
-    """A row for each vector and partition to visit, the most probable first."""
+def routed(distinct: DataFrame, router: Router) -> DataFrame:
+    """A row for each vector and partition to visit; home marks the most probable one, where the vector is stored."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vec = batch.column(batch.schema.get_field_index("vec"))
-            to = router.route(unit(_matrix(vec)), probes)
+            vec = batch.column(1)
+            to = router.route(unit(_matrix(vec)))
             at = pa.array(np.repeat(np.arange(batch.num_rows), to.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), batch.column(0).take(at), batch.column(1).take(at), vec.take(at)], names=["part", "rid", "ids", "vec"])
+            home = pa.array(np.tile(np.arange(to.shape[1]) == 0, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), home, batch.column(0).take(at), vec.take(at)], names=["part", "home", "rid", "vec"])
 
-    return distinct.select("rid", "ids", "vec").mapInArrow(route, "part int, rid long, ids array<long>, vec array<float>")
+    return distinct.select("rid", "vec").mapInArrow(route, "part int, home boolean, rid long, vec array<float>")
 
 
 def _matrix(vec: pa.Array) -> np.ndarray:
     return vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
 
 
-def in_blocks(rows: DataFrame, sizes: DataFrame, block: int, carry: list[str]) -> DataFrame:
-    """Rows of a partition packed into blocks of about so many vectors, however many the partition has. sizes has a row
-    for each partition."""
-    count = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    placed = rows.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("rid"), count))  # MOST_PARTITIONS rows
-    return placed.groupBy("part", "block").agg(F.collect_list(F.struct(*carry)).alias("rows"))
+def in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Members and visits of each partition packed into blocks of about so many vectors. sizes: a row for each partition
+    with its members and visits.
+
+    A partition's visits are dealt to groups of bounded size and its members copied to each group, so that a partition of
+    any size is many tasks. Both sides are shuffled once, by partition and group: packing and joining keep that layout.
+    """
+    groups = F.greatest(F.lit(1), F.ceil(F.col("visits") / F.lit(GROUP_VISITS))).cast("int")
+    sizes = F.broadcast(sizes.withColumn("groups", groups))  # a row for each partition
+    dealt = F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int")
+    member_block = F.pmod(F.xxhash64(F.lit("m"), "rid"), F.ceil(F.col("members") / F.lit(block)).cast("int"))
+    visit_block = F.pmod(F.xxhash64(F.lit("v"), "rid"), F.ceil(F.col("visits") / (F.col("groups") * F.lit(block))).cast("int"))
+    placed = rows.join(sizes, "part")
+    members = placed.filter("home").select("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), member_block.alias("block"), "rid", "vec")
+    visits = placed.select("part", dealt.alias("group"), visit_block.alias("block"), "rid", "vec")
+    pack = lambda side, name: side.repartition("part", "group").groupBy("part", "group", "block").agg(F.collect_list(F.struct("rid", "vec")).alias(name)).drop("block")
+    return pack(members, "members"), pack(visits, "queries")
 
 
 #: score of a candidate: cosine in millionths, negative so that ascending order is by cosine, then by id
@@ -255,13 +269,12 @@ def nearest(vectors: DataFrame, key: str = "row_id", vector: str = "embedding",
     rows = usable(vectors, key, vector, dim)
     distinct = cut_lineage(distinct_vectors(rows, k))
     total = distinct.count()
-    parts = max(1, min(MOST_PARTITIONS, total // partition_vectors))
+    parts = max(1, min(fit_vectors // TEACHING_VECTORS, total // partition_vectors))
     router = fit(sample_vectors(distinct, fit_vectors), parts, target) if total else fit(np.ones((1, dim)), 1)
-    homes, visits = routed(distinct, router, 1), routed(distinct, router, router.probes)
-    sizes = homes.groupBy("part").agg(F.count("*").alias("n"))
-    members = in_blocks(homes, sizes, block, ["rid", "vec"]).select("part", F.col("rows").alias("members"))
-    queries = in_blocks(visits, visits.groupBy("part").agg(F.count("*").alias("n")), block, ["rid", "vec"]).select("part", F.col("rows").alias("queries"))
-    found = compare_blocks(queries.join(members, "part"), k)
+    rows_of = routed(distinct, router)
+    sizes = rows_of.groupBy("part").agg(F.sum(F.col("home").cast("int")).alias("members"), F.count("*").alias("visits"))
+    members, queries = in_blocks(rows_of, sizes.filter("members > 0"), block)
+    found = compare_blocks(queries.join(members, ["part", "group"]), k)
     best = found.groupBy("rid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     # copies: each distinct neighbour stands for its smallest ids, the vector itself among them with cosine 1
     expanded = best.select("rid", F.posexplode("found").alias("n", "f")).select("rid", "f.score", F.col("f.id").alias("other"))
