@@ -8,22 +8,35 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmill import schema
 from lexmill.functions.models import Embedder, PhoneticResolver, embed_definitions
 from lexmill.functions.score import norm
 from lexmill.operators.merge import first_spellings, headwords, merge_records, unique_definitions, with_emotions, with_frequency
+from lexmill.session import written_table
 from lexmill.sources.sinks import write_index
 
 
+#: bits of monotonically_increasing_id that count rows within a partition
+_ROW_BITS = 33
+
+
 def number_rows(records: DataFrame) -> DataFrame:
-    """row_id in the order of source_rank and ordinal, from 0, without gaps: a range sort, then each partition adds the
-    sizes of those before it. The driver sees one count for each partition."""
+    """row_id in the order of source_rank and ordinal, from 0, without gaps.
+
+    A range sort is written once with each row's partition and place in it; the place plus the rows of all earlier
+    partitions is the number. The driver sees one count for each partition.
+    """
     ordered = records.repartitionByRange("source_rank", "ordinal").sortWithinPartitions("source_rank", "ordinal")
-    schema_out = T.StructType([*ordered.schema.fields, T.StructField("row_id", T.LongType(), False)])
-    numbered = ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return records.sparkSession.createDataFrame(numbered, schema_out)
+    place = F.monotonically_increasing_id()
+    kept = written_table(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))), "numbered")
+    counts = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    offsets = records.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return kept.join(F.broadcast(offsets), "_part").withColumn("row_id", F.col("_start") + F.col("_at")).drop("_part", "_start", "_at")  # a row for each partition
 
 
 def resolve_phonetics(senses: DataFrame, resolver: PhoneticResolver) -> DataFrame:

@@ -374,7 +374,7 @@ _add(
  t AS (SELECT line_no, sense_no, word, pos, {_TEXTS.format(_AS_LIST.format("json_extract(s, '$.tags')"))} AS tags, {_TEXTS.format(_AS_LIST.format("json_extract(s, '$.glosses')"))} AS glosses,
   {_AS_LIST.format("json_extract(s, '$.form_of')")} AS forms, list_filter(list_transform(coalesce({_AS_LIST.format("json_extract(s, '$.examples')")}, []), lambda x: x ->> '$.text'), lambda x: x <> '') AS examples FROM s)
  SELECT line_no, sense_no, word AS headword, CASE pos WHEN 'adj' THEN 'adjective' WHEN 'adv' THEN 'adverb' ELSE pos END AS pos,
- CASE WHEN len(glosses) = 1 THEN glosses[1] ELSE list_aggregate(list_transform(glosses, lambda g: regexp_replace(g, '\.+$', '')), 'string_agg', '; ') || '.' END AS definition,
+ CASE WHEN len(glosses) = 1 THEN glosses[1] ELSE list_aggregate(list_transform(glosses, lambda g: regexp_replace(g, '\\.+$', '')), 'string_agg', '; ') || '.' END AS definition,
  coalesce(list_aggregate(examples, 'string_agg', '|'), '') AS examples, coalesce(list_aggregate(tags, 'string_agg', '|'), '') AS tags
  FROM t WHERE forms IS NULL AND len(glosses) > 0 AND NOT list_contains(tags, 'form-of') AND NOT list_contains(tags, 'alt-of')""",
 )
