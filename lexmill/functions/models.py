@@ -35,7 +35,7 @@ class Embedder(Protocol):
 
 
 class Reranker(Protocol):
-    def score(self, query: str, definition: Column) -> Column: ...
+    def score(self, query: str | Column, definition: Column) -> Column: ...
 
 
 class Classifier(Protocol):
@@ -77,13 +77,15 @@ class OverlapReranker:
     def __init__(self, scale: float = 10.0):
         self.scale = scale
 
-    def score(self, query: str, definition: Column) -> Column:
-        words = sorted(set(re.findall(r"[a-z0-9]+", query.lower())))
-        if not words:
-            return F.lit(0.0)
+    def score(self, query: str | Column, definition: Column) -> Column:
         own = F.split(F.lower(F.coalesce(definition, F.lit(""))), "[^a-z0-9]+")
-        shared = F.size(F.array_intersect(own, F.array(*map(F.lit, words))))
-        return shared.cast("double") * self.scale / len(words)
+        if isinstance(query, str):
+            words = sorted(set(re.findall(r"[a-z0-9]+", query.lower())))
+            if not words:
+                return F.lit(0.0)
+            return F.size(F.array_intersect(own, F.array(*map(F.lit, words)))).cast("double") * self.scale / len(words)
+        asked = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+        return F.when(F.size(asked) > 0, F.size(F.array_intersect(own, asked)).cast("double") * self.scale / F.size(asked)).otherwise(F.lit(0.0))
 
 
 class TableResolver:

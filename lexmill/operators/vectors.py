@@ -39,9 +39,9 @@ def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], vec[order] / (np.linalg.norm(vec[order], axis=1, keepdims=True) + EPSILON)
 
 
-def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, key, score, rank) for queries (key, vec) against all vectors (key, vec), a row never being its own
-    neighbour.
+def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block_rows: int = BLOCK_ROWS, apart_from_self: bool = True) -> DataFrame:
+    """(query_id, key, score, rank) for queries (key, vec) against all vectors (key, vec); with apart_from_self a key is
+    never its own neighbour.
 
     Both sides are packed into blocks of about block_rows rows. Every query block meets every vector block once, as one
     matrix product, and only the k best of each leave it; the partial lists meet by query. A block pair is the unit of
@@ -58,7 +58,8 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block_
                 q_keys, q_unit = _matrix(q.values)
                 v_keys, v_unit = _matrix(v.values)
                 scores = np.round(q_unit @ v_unit.T, 6)
-                scores[q_keys[:, None] == v_keys[None, :]] = -np.inf
+                if apart_from_self:
+                    scores[q_keys[:, None] == v_keys[None, :]] = -np.inf
                 take = min(k, len(v_keys))
                 exact = np.rint(np.where(np.isinf(scores), -2, scores) * 1e6).astype(np.int64) * -len(v_keys) + np.arange(len(v_keys))
                 at = np.argpartition(exact, take - 1, axis=1)[:, :take]

@@ -13,6 +13,7 @@ from lexmill.functions.score import absolute_relevance, combined_score, cosine,
 from lexmill.operators.filters import category_predicate, check_category, exclude_headword, phonetic_predicate
 from lexmill.operators.order import check_sort, ranked
 from lexmill.operators.patterns import headword_predicate
+from lexmill.operators.vectors import batch_top_k
 from lexmill.plans.query import ParsedQuery, parse_query
 from lexmill.schema import CANDIDATE, RESULT_ROW
 
@@ -163,3 +164,23 @@ class Lexicon:
             exact = self.tagged(self.lookup(parsed.text)) if parsed.mode == "meaning" else None
             return SearchResult(candidates, exact, parsed.text)
         return SearchResult(self.structural(parsed, request), None, request.query)
+
+    def search_many(self, queries: DataFrame, top_n: int = DEFAULT_TOP_N, category: str | None = None) -> DataFrame:
+        """(query_id, rank, row_id, headword, score, relevance) for many meanings at once.
+
+        queries: (query_id, text, vec), a stated query set with its encoded vectors. The pool of each comes from exact
+        block products; reranking, best senses, filters and the cut are windows of one query's pool. Only ids and scores
+        are shuffled before the pool's rows are joined.
+        """
+        check_category(category)
+        pool = pool_size(top_n)
+        vectors = self.senses.filter(F.col("embedding").isNotNull()).select(F.col("row_id").alias("key"), F.col("embedding").alias("vec"))
+        found = batch_top_k(queries.select(F.col("query_id").alias("key"), "vec"), vectors, pool, self.embedder.dim, apart_from_self=False)
+        rows = found.select("query_id", F.col("key").alias("row_id"), F.col("rank").alias("place")).join(self.senses.select("row_id", "headword", "headword_lc", "pos", "tags", "definition", "zipf"), "row_id")
+        rows = rows.join(queries.select("query_id", "text"), "query_id")
+        score = F.round(combined_score(self.reranker.score(F.col("text"), F.col("definition")), F.col("zipf")), 6)
+        own = Window.partitionBy("query_id", "headword_lc")
+        best = rows.withColumn("score", score).withColumn("_n", F.row_number().over(own.orderBy(F.desc("score"), "place"))).withColumn("_seen", F.min("place").over(own)).filter("_n = 1")
+        kept = best.filter((F.col("headword_lc") != F.lower("text")) & category_predicate(category, F.col("pos"), F.col("tags")))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_seen"))
+        return kept.withColumn("rank", rank).filter(F.col("rank") <= top_n).select("query_id", "rank", "row_id", "headword", "score", absolute_relevance(F.col("score")).alias("relevance"))

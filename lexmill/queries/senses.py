@@ -32,10 +32,15 @@ MEANING_TEXT = "a small wooden tool used to cut bread in the kitchen"
 TARGET_PHONEMES = ["S", "EH1", "T"]
 
 
+#: columns that are integers here and wider in SQL
+_INTS = {"dedupe_best_sense": "score", "result_rows_flat": "position", "result_lines": "position", "recall_at_k": ""}
+
+
 def _add(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql is not None:
-        SQL[name] = sql
+        narrow = _INTS[name] if name in _INTS else ("rank" if "AS rank" in sql else "")
+        SQL[name] = f"SELECT * REPLACE ({narrow}::INT AS {narrow}) FROM ({sql})" if narrow else sql
 
 
 # --- views that several queries share ---
@@ -311,6 +316,27 @@ _COMBINED_POOL = f"""SELECT * FROM (SELECT *, CASE WHEN count(*) OVER () <= 75 T
  FROM (SELECT *, min(row_id) OVER (PARTITION BY headword_lc) AS fs, round(list_cosine_similarity(vec, q), 6) AS sim FROM {_VECTORS}, {_FIRST_VECTOR} WHERE {_FITS})) WHERE place <= 75"""
 _add("search_combined_e2e", _meaning(f"s*:{MEANING_TEXT}", top_n=10), _meaning_sql(_COMBINED_POOL, 10))
 
+
+
+def _many(s: SparkSession, d: str) -> DataFrame:
+    """The definitions and vectors of the stated query set, asked all at once."""
+    index = embedded_index(s, d)
+    queries = index.filter((F.col("row_id") % 20 == 0) & F.col("definition").isNotNull()).select(F.col("row_id").alias("query_id"), F.col("definition").alias("text"), F.col("embedding").alias("vec"))
+    return Lexicon(index).search_many(queries, top_n=15).select("query_id", "rank", "row_id", "score", "relevance")
+
+
+_WORDS_OF = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> ''))"
+_add(
+    "search_many",
+    _many,
+    f"""WITH v AS {_VECTORS}, q AS (SELECT row_id AS query_id, definition AS text, vec AS q FROM v WHERE row_id % 20 = 0 AND definition IS NOT NULL),
+ p AS (SELECT * FROM (SELECT v.*, query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, q), 6) DESC, row_id) AS place FROM v, q) WHERE place <= 75),
+ c AS (SELECT *, round(CASE WHEN len({_WORDS_OF.format("text")}) > 0 THEN len(list_intersect({_WORDS_OF.format("definition")}, {_WORDS_OF.format("text")})) * 10.0 / len({_WORDS_OF.format("text")}) ELSE 0.0 END + coalesce(zipf, 0.0), 6) AS score FROM p),
+ b AS (SELECT *, row_number() OVER (PARTITION BY query_id, headword_lc ORDER BY score DESC, place) AS n, min(place) OVER (PARTITION BY query_id, headword_lc) AS seen FROM c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM b WHERE n = 1 AND headword_lc <> lower(text))
+ SELECT query_id, rank, row_id, score, round_even(100 * (1 / (1 + exp(-score))), 0)::INT AS relevance FROM r WHERE rank <= 15""",
+)
+
 # --- emotions, flat rows and lines ---
 
 

@@ -101,6 +101,17 @@ def test_combined_small_and_large_pools(spark):
     assert (pool_size(1), pool_size(30)) == (75, 90)
 
 
+def test_many_at_once(spark):
+    lex = lexicon(spark, [sense(0, "Happy", "feeling joy"), sense(1, "happy", "great joy", first=False), sense(2, "glad", "great joy", zipf=5.0), sense(3, "sad", "down", "verb", vector=(0.0, 1.0))])
+    queries = spark.createDataFrame([(1, "great joy", [1.0, 0.0]), (2, "GLAD", [1.0, 0.0]), (3, None, [0.0, 1.0])], "query_id long, text string, vec array<float>")
+    rows = lex.search_many(queries, top_n=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.row_id) for r in rows if r.query_id < 3] == [(1, 1, 2), (1, 2, 1), (2, 1, 0), (2, 2, 3)]
+    assert [r.headword for r in lex.search_many(queries, category="verb").filter("query_id = 1").collect()] == ["sad"]
+    assert lex.search_many(queries.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        lex.search_many(queries, category="nope")
+
+
 def test_empty_index(spark):
     lex = lexicon(spark, [])
     for query in ("a*", "a meaning", "a*:meaning", "expand:ab", "**word**"):
