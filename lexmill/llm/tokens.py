@@ -4,10 +4,9 @@ Texts are cut into words by the vocabulary's pattern. The distinct words that a
 SQL engine as token-position rows. A recursive query joins neighbouring tokens with the merge table and contracts the
 leftmost pair of minimum rank until nothing merges; an ordered aggregation then gives each word's ids.
 
-A long word is contracted at several places at once: a pair is taken if no pair within `reach` positions has a smaller
-(rank, position), where reach is at least the byte length of the longest token such a word can hold. All that earlier
-merges could build into this pair would be a token that holds both, which is no longer than that, so the result is the
-one that a single merge at a time gives.
+A long word is contracted at several places at once: a pair is taken if no pair within its reach has a smaller (rank,
+position). Whatever merges of smaller rank could build up to this pair would be a token that holds both, so reach is the
+byte length of the longest token of smaller rank, and the result is the one that a single merge at a time gives.
 """
 
 from __future__ import annotations
@@ -32,20 +31,39 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 MEMORY_WORDS, MEMORY_IDS = 200_000, 3_000_000
 #: bytes of distinct words that go into one recursive query, a longer word alone
 BATCH_BYTES = 200_000
-#: contractions of one recursive query, of which each keeps a copy of what is left; words that aren't done go into another
-ROUNDS, ROUNDS_OF_LONG = 24, 6
+#: bytes up to which a word is contracted one pair at a time
+SHORT_WORD = 32
+#: contractions of one recursive query over long words, of which each keeps a copy of what is left; words that aren't done
+#: go into another
+ROUNDS, ROUNDS_OF_LONGEST = 24, 6
+
+#: each word's leftmost pair of minimum rank, packed with its place and product into one number
+_SHORT = """
+WITH RECURSIVE state(word, toks, step) AS (
+    SELECT word, toks, 0 FROM pieces
+    UNION ALL
+    SELECT s.word, list_concat(list_append(s.toks[:b.place - 1], b.merged), s.toks[b.place + 2:]), s.step + 1
+    FROM state s JOIN (
+        SELECT word, min(m.rank * 4294967296 + p.place * 65536 + m.merged) AS best, (best // 65536) % 65536 AS place, best % 65536 AS merged
+        FROM (SELECT word, unnest(range(1, len(toks))) AS place, unnest(toks[:-2]) AS a, unnest(toks[2:]) AS b FROM state) p
+        JOIN merges m ON p.a = m.a AND p.b = m.b
+        GROUP BY word
+    ) b USING (word)
+)
+SELECT word, arg_max(toks, step) AS ids, 0 AS step FROM state GROUP BY word
+"""
 
-_CONTRACT = """
+_LONG = """
 WITH RECURSIVE state(word, pos, tok, step) AS (
-    SELECT word, pos, tok, 0 FROM pieces
+    SELECT word, unnest(range(len(toks))) AS pos, unnest(toks) AS tok, 0 FROM pieces
     UNION ALL
     (
         WITH pairs AS (
             SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state
         ), ranked AS (
-            SELECT p.*, m.merged, m.rank * 16777216 + p.pos AS key FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
+            SELECT p.*, m.merged, m.rank * 4294967296 + p.pos AS key, coalesce(m.{reach}, 0) AS reach FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
         ), picked AS (
-            SELECT *, key IS NOT NULL AND key = min(key) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS take
+            SELECT *, key IS NOT NULL AND key = min(key) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS take
             FROM ranked
         ), kept AS (
             SELECT *, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone, bool_or(take) OVER (PARTITION BY word) AS goes_on FROM picked
@@ -81,18 +99,34 @@ class Tokenizer:
         for letter, b in letters.items():
             self.byte_ids[b] = ids[letter]
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in ids.items() if all(c in letters for c in t)}
-        lengths = [(len(b), regex.fullmatch(rb" ?[A-Za-z]+", b) is not None) for b in self.bytes_of.values()]
-        self.reach = {True: max(n for n, letters_only in lengths if letters_only), False: max(n for n, _ in lengths)}
         self.letters_only = regex.compile(r" ?[A-Za-z]+")
         self.words = regex.compile(WORD_PATTERN)
         self.memory: dict[str, list[int]] = {}
         self.remembered = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        rows = pa.table({"a": [ids[a] for a, _ in merges], "b": [ids[b] for _, b in merges], "merged": [ids[a + b] for a, b in merges], "rank": range(len(merges))})
+        products = [ids[a + b] for a, b in merges]
+        if max(ids.values()) >= 65536:
+            raise ValueError("ids must fit 16 bits")
+        letters_only = [regex.fullmatch(rb" ?[A-Za-z]+", self.bytes_of[i]) is not None for i in products]
+        rows = pa.table(
+            {
+                "a": pa.array([ids[a] for a, _ in merges], pa.int32()),
+                "b": pa.array([ids[b] for _, b in merges], pa.int32()),
+                "merged": pa.array(products, pa.int64()),
+                "rank": pa.array(range(len(merges)), pa.int64()),
+                "reach_letters": self._reach([len(self.bytes_of[i]) if l else 0 for i, l in zip(products, letters_only, strict=True)]),
+                "reach_any": self._reach([len(self.bytes_of[i]) for i in products]),
+            }
+        )
         self.db.register("merge_rows", rows)
-        self.db.execute("CREATE TABLE merges AS SELECT a::INT AS a, b::INT AS b, merged::INT AS merged, rank::BIGINT AS rank FROM merge_rows")
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.unregister("merge_rows")
 
+    @staticmethod
+    def _reach(lengths: list[int]) -> pa.Array:
+        """For each rank, the length of the longest token of smaller rank, at least 2."""
+        return pa.array(np.maximum.accumulate([2, *lengths[:-1]]).astype(np.int32))
+
     def split(self, text: str) -> list[str]:
         return self.words.findall(text)
 
@@ -103,33 +137,32 @@ class Tokenizer:
             self.memory.clear()
             self.remembered = 0
             new = list(words)
-        for letters_only in (True, False):
+        kinds: dict[str, list[tuple[str, list[int]]]] = {"short": [], "reach_letters": [], "reach_any": []}
+        for word in new:
+            toks = [self.byte_ids[x] for x in word.encode("utf-8", "replace")]
+            kind = "short" if len(toks) <= SHORT_WORD else "reach_letters" if self.letters_only.fullmatch(word) else "reach_any"
+            kinds[kind].append((word, toks))
+        for kind, coded in kinds.items():
             batch, size = [], 0
-            for word in new:
-                if (self.letters_only.fullmatch(word) is not None) != letters_only:
-                    continue
-                coded = word.encode("utf-8", "replace")
-                if batch and size + len(coded) > BATCH_BYTES:
-                    self._contract(batch, self.reach[letters_only])
+            for word, toks in coded:
+                if batch and size + len(toks) > BATCH_BYTES:
+                    self._contract(batch, kind)
                     batch, size = [], 0
-                batch.append((word, [self.byte_ids[x] for x in coded]))
-                size += len(coded)
-            if batch:
-                self._contract(batch, self.reach[letters_only])
+                batch.append((word, toks))
+                size += len(toks)
+            self._contract(batch, kind)
 
-    def _contract(self, batch: list[tuple[str, list[int]]], reach: int) -> None:
+    def _contract(self, batch: list[tuple[str, list[int]]], kind: str) -> None:
         """Recursive queries until every word of the batch is at its fixpoint."""
         while batch:
-            rounds = ROUNDS if sum(len(tok) for _, tok in batch) <= BATCH_BYTES else ROUNDS_OF_LONG
-            word = np.repeat(np.arange(len(batch), dtype=np.int32), [len(tok) for _, tok in batch])
-            pos = np.concatenate([np.arange(len(tok), dtype=np.int32) for _, tok in batch])
-            tok = np.concatenate([np.asarray(tok, np.int32) for _, tok in batch])
-            self.db.register("pieces", pa.table({"word": word, "pos": pos, "tok": tok}))
-            done = self.db.sql(_CONTRACT.format(reach=reach, rounds=rounds)).to_arrow_table()
+            rounds = ROUNDS if sum(len(toks) for _, toks in batch) <= BATCH_BYTES else ROUNDS_OF_LONGEST
+            pieces = pa.table({"word": pa.array(range(len(batch)), pa.int32()), "toks": pa.array([toks for _, toks in batch], pa.list_(pa.int64()))})
+            self.db.register("pieces", pieces)
+            done = self.db.sql(_SHORT if kind == "short" else _LONG.format(reach=kind, rounds=rounds)).to_arrow_table()
             self.db.unregister("pieces")
             rest = []
             for n, ids, step in zip(done.column("word").to_pylist(), done.column("ids").to_pylist(), done.column("step").to_pylist(), strict=True):
-                if step == rounds:
+                if kind != "short" and step == rounds:
                     rest.append((batch[n][0], ids))
                 else:
                     self.memory[batch[n][0]] = ids
