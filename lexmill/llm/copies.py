@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import written_table
+
 #: everything but letters and digits of any script
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 GLOSS_SEPARATOR = ";"
@@ -77,12 +79,12 @@ def members(records: DataFrame, row_id: str = "row_id") -> DataFrame:
 
     Copies: equal source and pos (null equals null), equal headword and bag of glosses when only letters and digits
     count. A repeated row_id is one row. Rows join the groups by fingerprint, the groups' side having one row for each
-    fingerprint, so a hot group is split by adaptive skew handling without loss; the first rows, which bring the fields
-    to compare with, are already partitioned alike. Should two different records share all 124 bits, the query fails
+    fingerprint, so a hot group is split by adaptive skew handling without loss. The rows that have copies are written
+    once; among them are the first rows, which bring the fields to compare with. Should two different records share all 124 bits, the query fails
     and names the remedy rather than merge or lose them.
     """
     groups = collapse(records, row_id).filter("copies > 1")
-    rows = normalised(records, row_id).join(groups, FP)
+    rows = written_table(normalised(records, row_id).join(groups, FP), "copies")  # only rows that have copies
     names = ["source", "pos", "hw", "bag"]
     firsts = rows.filter("row_id = first_row_id").select(*FP, *[F.col(n).alias(f"first_{n}") for n in names])
     joined = rows.filter("row_id != first_row_id").join(firsts, FP)
