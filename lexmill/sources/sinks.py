@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The layout of a result line.
+# The layout of a result line, and the words of previews.
 EXACT_MARK, OTHER_MARK = "★", " "
 LONGEST_GLOSS, CUT_GLOSS, ELLIPSIS = 70, 67, "..."
+BETWEEN_LABELS = " · "
+EXACT_TITLE, STRESS, EMOTION, CONFIDENCE, SYNONYMS = "Exact match — ", "Stress: ", "Emotion: ", "Match confidence: ", "Synonyms: "
 
 
 def write_index(senses: DataFrame, frequency: DataFrame, path: str, buckets: int = 64) -> None:
@@ -38,7 +40,7 @@ def result_line(index: Column) -> Column:
         "\t",
         F.concat(mark, F.lit(" "), _text(F.col("headword"))),
         F.concat(F.lit("("), _text(F.col("pos")), F.lit(") "), _text(short_gloss(F.col("definition")))),
-        F.concat(F.lit("["), F.col("label"), F.lit(" · "), F.col("polarity"), F.lit("]")),
+        F.concat(F.lit("["), F.col("label"), F.lit(BETWEEN_LABELS), F.col("polarity"), F.lit("]")),
         F.concat(_text(F.col("relevance")), F.lit("%")),
         _text(index),
         _text(F.col("headword")),
@@ -48,7 +50,7 @@ def result_line(index: Column) -> Column:
 def candidate_preview() -> Column:
     """Several lines on one candidate; lines without content are left out."""
     none = F.lit(None).cast("string")
-    listed = F.when(F.size("synonyms") > 0, F.concat(F.lit("Synonyms: "), F.array_join("synonyms", ", ")))
+    listed = F.when(F.size("synonyms") > 0, F.concat(F.lit(SYNONYMS), F.array_join("synonyms", ", ")))
     quoted = F.when(F.size("examples") > 0, F.concat(F.lit("\n"), F.array_join(F.transform("examples", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), "\n")))
     return F.concat_ws(
         "\n",
@@ -56,9 +58,9 @@ def candidate_preview() -> Column:
         F.lit(""),
         _text(F.col("definition")),
         F.lit(""),
-        F.coalesce(F.when(F.col("stress") != "", F.concat(F.lit("Stress: "), F.col("stress"))), none),
-        F.concat(F.lit("Emotion: "), F.col("label"), F.lit(" · "), F.col("polarity")),
-        F.concat(F.lit("Match confidence: "), _text(F.col("relevance")), F.lit("%")),
+        F.coalesce(F.when(F.col("stress") != "", F.concat(F.lit(STRESS), F.col("stress"))), none),
+        F.concat(F.lit(EMOTION), F.col("label"), F.lit(BETWEEN_LABELS), F.col("polarity")),
+        F.concat(F.lit(CONFIDENCE), _text(F.col("relevance")), F.lit("%")),
         listed,
         quoted,
     )
@@ -70,18 +72,18 @@ def exact_preview(senses: Column, headword: str) -> Column:
     one = lambda s: F.concat_ws(
         "\n",
         F.concat(F.lit("("), _text(s["pos"]), F.lit(") "), _text(s["definition"])),
-        F.coalesce(F.when(s["stress"] != "", F.concat(F.lit("Stress: "), s["stress"])), none),
-        F.concat(F.lit("Emotion: "), s["label"], F.lit(" · "), s["polarity"]),
-        F.when(F.size(s["synonyms"]) > 0, F.concat(F.lit("Synonyms: "), F.array_join(s["synonyms"], ", "))),
+        F.coalesce(F.when(s["stress"] != "", F.concat(F.lit(STRESS), s["stress"])), none),
+        F.concat(F.lit(EMOTION), s["label"], F.lit(BETWEEN_LABELS), s["polarity"]),
+        F.when(F.size(s["synonyms"]) > 0, F.concat(F.lit(SYNONYMS), F.array_join(s["synonyms"], ", "))),
         F.when(F.size(s["examples"]) > 0, F.array_join(F.transform(s["examples"], lambda x: F.concat(F.lit('    "'), x, F.lit('"'))), "\n")),
         F.lit(""),
     )
-    return F.concat(F.lit(f"Exact match — {headword}\n\n"), F.array_join(F.transform(senses, one), "\n"))
+    return F.concat(F.lit(f"{EXACT_TITLE}{headword}\n\n"), F.array_join(F.transform(senses, one), "\n"))
 
 
 def static_table(rows: list[dict]) -> str:
     """A plain table of a bounded result, for a terminal."""
     names = ("#", "word", "pos", "definition", "stress", "emotion", "synonyms", "relevance")
-    lines = [[str(n), r["headword"], r["pos"] or "", r["definition"] or "", r["stress"] or "", f"{r['label']} · {r['polarity']}", ", ".join(r["synonyms"] or []), f"{r['relevance']}%"] for n, r in enumerate(rows, 1)]
+    lines = [[str(n), r["headword"], r["pos"] or "", r["definition"] or "", r["stress"] or "", f"{r['label']}{BETWEEN_LABELS}{r['polarity']}", ", ".join(r["synonyms"] or []), f"{r['relevance']}%"] for n, r in enumerate(rows, 1)]
     widths = [max(len(x) for x in column) for column in zip(names, *lines, strict=True)]
     return "\n".join("  ".join(x.ljust(w) for x, w in zip(line, widths, strict=True)).rstrip() for line in [list(names), *lines])
