@@ -4,8 +4,9 @@ Texts are cut into words by the vocabulary's pattern. The distinct words that a
 SQL engine as token-position rows. A recursive query joins neighbouring tokens with the merge table and contracts the
 leftmost pair of minimum rank until nothing merges; an ordered aggregation then gives each word's ids.
 
-A long word is contracted at several places at once: a pair is taken if no pair within its reach has a smaller (rank,
-position). Whatever merges of smaller rank could build up to this pair would be a token that holds both, so reach is the
+A long word is contracted at several places at once: a pair is taken if no pair within its reach has a smaller rank; of
+overlapping pairs of one rank, which form a run, every other is taken from the left, once its start is
+free. Whatever merges of smaller rank could build up to this pair would be a token that holds both, so reach is the
 byte length of the longest token of smaller rank, and the result is the one that a single merge at a time gives.
 """
 
@@ -61,10 +62,18 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
         WITH pairs AS (
             SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state
         ), ranked AS (
-            SELECT p.*, m.merged, m.rank * 4294967296 + p.pos AS key, coalesce(m.{reach}, 0) AS reach FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
-        ), picked AS (
-            SELECT *, key IS NOT NULL AND key = min(key) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS take
+            SELECT p.*, m.merged, m.rank, coalesce(m.{reach}, 0) AS reach FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
+        ), least AS (
+            SELECT *, rank IS NOT NULL AND rank = min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS fits
             FROM ranked
+        ), runs AS (
+            SELECT *, count(*) FILTER (NOT fits) OVER (PARTITION BY word ORDER BY pos) AS run,
+                fits AND NOT lag(fits, 1, true) OVER (PARTITION BY word ORDER BY pos) AND coalesce(rank = lag(rank) OVER (PARTITION BY word ORDER BY pos), false) AS hangs
+            FROM least
+        ), picked AS (
+            SELECT *, fits AND row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = (CASE WHEN run = 0 THEN 1 ELSE 0 END)
+                AND NOT bool_or(hangs) OVER (PARTITION BY word, run) AS take
+            FROM runs
         ), kept AS (
             SELECT *, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone, bool_or(take) OVER (PARTITION BY word) AS goes_on FROM picked
         )

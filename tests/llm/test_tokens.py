@@ -19,7 +19,7 @@ def public():
 def test_odd_texts(public):
     rng = random.Random(1)
     long_word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4_000))
-    texts = ["", " ", "\n\n  x", "it's we'll", "<|endoftext|> plain", "日本語のテキスト", "naïve é", "a" * 3_000, " " * 500, long_word, "é" * 700, "äb" * 3_000, long_word * 20, "-" * 300 + "=" * 300, "👩‍👩‍👧 ok", "\x00\x01", "مرحبا 123 №"]
+    texts = ["", " ", "\n\n  x", "it's we'll", "<|endoftext|> plain", "日本語のテキスト", "naïve é", "a" * 3_001, "x" * 40_000, "baaaaaab" * 9, "é" * 2_001, " " * 500, long_word, "é" * 700, "äb" * 3_000, long_word * 20, "-" * 300 + "=" * 300, "👩‍👩‍👧 ok", "\x00\x01", "مرحبا 123 №"]
     assert list(tokens.tokenizer().encode(texts)) == [public(t) for t in texts]
     assert list(tokens.tokenizer().encode([None, ""])) == [[], []]
 
