@@ -36,7 +36,7 @@ BATCH_BYTES = 200_000
 SHORT_WORD = 32
 #: contractions of one recursive query over long words, of which each keeps a copy of what is left; words that aren't done
 #: go into another
-ROUNDS, ROUNDS_OF_LONGEST = 24, 6
+ROUNDS, ROUNDS_OF_LONGEST = 40, 6
 
 #: each word's leftmost pair of minimum rank, packed with its place and product into one number
 _SHORT = """
@@ -63,17 +63,7 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
             SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state
         ), ranked AS (
             SELECT p.*, m.merged, m.rank, coalesce(m.{reach}, 0) AS reach FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
-        ), least AS (
-            SELECT *, rank IS NOT NULL AND rank = min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS fits
-            FROM ranked
-        ), runs AS (
-            SELECT *, count(*) FILTER (NOT fits) OVER (PARTITION BY word ORDER BY pos) AS run,
-                fits AND NOT lag(fits, 1, true) OVER (PARTITION BY word ORDER BY pos) AND coalesce(rank = lag(rank) OVER (PARTITION BY word ORDER BY pos), false) AS hangs
-            FROM least
-        ), picked AS (
-            SELECT *, fits AND row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = (CASE WHEN run = 0 THEN 1 ELSE 0 END)
-                AND NOT bool_or(hangs) OVER (PARTITION BY word, run) AS take
-            FROM runs
+        {pick}
         ), kept AS (
             SELECT *, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone, bool_or(take) OVER (PARTITION BY word) AS goes_on FROM picked
         )
@@ -86,6 +76,24 @@ GROUP BY word
 """
 
 
+#: a pair is taken if it has the smallest (rank, position) in reach; runs of equal pairs then shrink from the left only
+_PICK_FIRST = """), picked AS (
+            SELECT *, rank IS NOT NULL AND rank * 4294967296 + pos = min(rank * 4294967296 + pos) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS take
+            FROM ranked"""
+#: a pair is taken if it has the smallest rank in reach, of a run of such pairs every other one
+_PICK_RUNS = """), least AS (
+            SELECT *, rank IS NOT NULL AND rank = min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS fits
+            FROM ranked
+        ), runs AS (
+            SELECT *, count(*) FILTER (NOT fits) OVER (PARTITION BY word ORDER BY pos) AS run,
+                fits AND NOT lag(fits, 1, true) OVER (PARTITION BY word ORDER BY pos) AND coalesce(rank = lag(rank) OVER (PARTITION BY word ORDER BY pos), false) AS hangs
+            FROM least
+        ), picked AS (
+            SELECT *, fits AND row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = (CASE WHEN run = 0 THEN 1 ELSE 0 END)
+                AND NOT bool_or(hangs) OVER (PARTITION BY word, run) AS take
+            FROM runs"""
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that the vocabulary file writes for each byte, by its rule: printable Latin-1 stands for
     itself, the rest are numbered upwards from code point 256."""
@@ -163,11 +171,12 @@ class Tokenizer:
 
     def _contract(self, batch: list[tuple[str, list[int]]], kind: str) -> None:
         """Recursive queries until every word of the batch is at its fixpoint."""
+        pick = _PICK_FIRST if sum(len(toks) for _, toks in batch) <= BATCH_BYTES else _PICK_RUNS
         while batch:
             rounds = ROUNDS if sum(len(toks) for _, toks in batch) <= BATCH_BYTES else ROUNDS_OF_LONGEST
             pieces = pa.table({"word": pa.array(range(len(batch)), pa.int32()), "toks": pa.array([toks for _, toks in batch], pa.list_(pa.int64()))})
             self.db.register("pieces", pieces)
-            done = self.db.sql(_SHORT if kind == "short" else _LONG.format(reach=kind, rounds=rounds)).to_arrow_table()
+            done = self.db.sql(_SHORT if kind == "short" else _LONG.format(reach=kind, rounds=rounds, pick=pick)).to_arrow_table()
             self.db.unregister("pieces")
             rest = []
             for n, ids, step in zip(done.column("word").to_pylist(), done.column("ids").to_pylist(), done.column("step").to_pylist(), strict=True):
@@ -176,7 +185,7 @@ class Tokenizer:
                 else:
                     self.memory[batch[n][0]] = ids
                     self.remembered += len(ids)
-            batch = rest
+            batch, pick = rest, _PICK_RUNS  # what isn't done soon is likely to have runs
 
     def word_ids(self, texts: list[str | None]) -> Iterator[list[list[int]]]:
         """The ids of each word of each text; none for null and empty texts."""
