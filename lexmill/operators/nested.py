@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -158,3 +159,17 @@ def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
         body = F.from_json("payload", PAYLOADS[tag])
         return rows.select(*keys, body.alias("body")).select(f"{tag}_id", "parent_id", "line_no", "sense_no", "body.*")
     return rows.select(*keys, F.col("payload").alias("text"))
+
+
+def links(spark: SparkSession, path: str) -> DataFrame:
+    """tag, n_rows, n_linked (rows whose parent exists) and n_lines of each table of a written folder that has rows."""
+    found = []
+    for tag, parent in [("entry", None), ("sense", "entry"), *[(kind, "sense") for kind in ITEM_KINDS]]:
+        rows = read_table(spark, path, tag).select("parent_id", "line_no")
+        if parent is None:
+            rows = rows.withColumn("known", F.lit(None).cast("string"))
+        else:
+            known = read_table(spark, path, parent).select(F.col(f"{parent}_id").alias("known")).distinct()
+            rows = rows.join(known, F.col("parent_id") == F.col("known"), "left")
+        found.append(rows.select(F.lit(tag).alias("tag"), "line_no", "known"))
+    return reduce(DataFrame.unionByName, found).groupBy("tag").agg(F.count("*").alias("n_rows"), F.count("known").alias("n_linked"), F.count_distinct("line_no").alias("n_lines"))

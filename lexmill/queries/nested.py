@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexmill.operators.nested import flatten_entries, items
-from lexmill.session import table
+from lexmill.operators.nested import flatten_entries, items, links, write_tables
+from lexmill.session import shared_path, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +14,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each flat table, with the rows that carry a link to a parent."""
-    tagged = flatten_entries(table(spark, sf_dir, "wiktextract_raw"))
-    return tagged.groupBy("tag").agg(F.count("*").alias("n_rows"), F.count("parent").alias("n_linked"), F.count_distinct("line_no").alias("n_lines"))
+    """Rows of each flat table, with the rows whose parent stands in its table. The tables are written once and read
+    back, each under its schema."""
+    path = shared_path(spark, "entries")
+    write_tables(flatten_entries(table(spark, sf_dir, "wiktextract_raw")), path)
+    return links(spark, path)
 
 
 _AS_LIST = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN [] WHEN json_type({0}) = 'ARRAY' THEN json_extract({0}, '$[*]') ELSE [{0}] END"
