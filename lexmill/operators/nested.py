@@ -8,8 +8,10 @@ tables costs one parse of the input and no shuffle.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,11 @@ PAYLOADS = {
 }
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_NAMED = {"true": True, "false": False, "null": None}
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
@@ -68,13 +75,76 @@ def _utf8(text: str) -> str:
     return text
 
 
+def parse_deep(text: str) -> object:
+    """The JSON value of a text nested however deeply, or None if it is none."""
+    try:
+        return _parse_deep(text)
+    except (ValueError, IndexError):
+        return None
+
+
+def _parse_deep(text: str) -> object:
+    skip = lambda at: _SPACE.match(text, at).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at] != '"':
+            raise ValueError("no key")
+        found, at = scanstring(text, at + 1, True)
+        at = skip(at)
+        if text[at] != ":":
+            raise ValueError("no colon")
+        return found, skip(at + 1)
+
+    open_: list[tuple[dict | list, str | None]] = []
+    at = skip(0)
+    while True:
+        c = text[at]
+        if c in "{[":
+            inner, name, at = {} if c == "{" else [], None, skip(at + 1)
+            if text[at] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    name, at = key(at)
+                open_.append((inner, name))
+                continue
+            value, at = inner, at + 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif found := _SCALAR.match(text, at):
+            value, at = _NAMED[found[0]] if found[0] in _NAMED else float(found[0]), found.end()
+        else:
+            raise ValueError("no value")
+        while open_:
+            outer, name = open_[-1]
+            if isinstance(outer, dict):
+                outer[name] = value
+            else:
+                outer.append(value)
+            at = skip(at)
+            if text[at] == ",":
+                at = skip(at + 1)
+                if isinstance(outer, dict):
+                    name, at = key(at)
+                    open_[-1] = outer, name
+                break
+            if text[at] != ("}" if isinstance(outer, dict) else "]"):
+                raise ValueError("not closed")
+            open_.pop()
+            value, at = outer, at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError("more than one value")
+            return value
+
+
 def parse_object(line: str | None) -> dict | None:
     """The line's object, or None if the line isn't one whole JSON object."""
     if line is None:
         return None
     try:
-        value = json.loads(line, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        value = json.loads(line, parse_constant=_no_constant, parse_int=float)  # as int, long ones are refused; numbers are no items
+    except RecursionError:
+        value = parse_deep(line)
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
