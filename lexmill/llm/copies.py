@@ -96,3 +96,11 @@ def members(records: DataFrame, row_id: str = "row_id") -> DataFrame:
     )
     first = F.when(equal, F.col("first_row_id")).otherwise(F.raise_error(F.lit("fingerprints collide: change SEEDS")).cast("long"))
     return joined.select(first.alias("first_row_id"), "row_id")
+
+
+def verified(records: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """(first_row_id, copies) of each record that remains, as collapse counts them; the fields of all copies are compared
+    as members does it, and a collision fails the query."""
+    checked = members(records, row_id).groupBy("first_row_id").agg(F.count("*").alias("checked"))
+    joined = collapse(records, row_id).select("first_row_id", "copies").join(checked, "first_row_id", "left")
+    return joined.select("first_row_id", F.when(F.col("checked").isNull() | (F.col("checked") > 0), F.col("copies")).alias("copies"))  # reads checked, so that it is computed

@@ -33,7 +33,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.collapse(table(spark, sf_dir, "metadata")).select("first_row_id", "copies")
+    return copies.verified(table(spark, sf_dir, "metadata"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
