@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.merge import headwords
+
 # The layout of a result line, and the words of previews.
 EXACT_MARK, OTHER_MARK = "★", " "
 LONGEST_GLOSS, CUT_GLOSS, ELLIPSIS = 70, 67, "..."
@@ -17,6 +19,7 @@ def write_index(senses: DataFrame, frequency: DataFrame, path: str, buckets: int
     lookup or a prefix reads the few row groups whose statistics hold it."""
     spread = senses.repartitionByRange(buckets, "headword_lc", "row_id").sortWithinPartitions("headword_lc", "row_id")
     spread.write.mode("overwrite").parquet(f"{path}/senses")
+    headwords(senses.sparkSession.read.schema(spread.schema).parquet(f"{path}/senses")).write.mode("overwrite").parquet(f"{path}/word_index")
     frequency.write.mode("overwrite").parquet(f"{path}/frequency")
 
 
@@ -24,6 +27,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/senses")
 
 
+def read_word_index(spark: SparkSession, path: str) -> DataFrame:
+    """headword_lc, first_row and n_rows of each headword."""
+    return spark.read.parquet(f"{path}/word_index")
+
+
 def short_gloss(definition: Column) -> Column:
     return F.when(F.length(definition) > LONGEST_GLOSS, F.concat(F.substring(definition, 1, CUT_GLOSS), F.lit(ELLIPSIS))).otherwise(definition)
 
