@@ -51,7 +51,7 @@ def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.source_totals(*_sizes(spark, sf_dir)).filter("short").select("source")
+    return mixing.short_sources(*_sizes(spark, sf_dir))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +65,24 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached(mixing.mix(sizes, targets), mixing.source_totals(sizes, targets))
 
 
-def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token shares tempered to the entropy of the target shares, and to the repetition limits."""
+def p7_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's exponents by target and by repetition limit, and its tempered share at the common exponent."""
+    sources = mixing.read_sources(mixing.source_totals(*_sizes(spark, sf_dir)))
+    exponent, shares = mixing.tempered_shares(sources)
+    near = lambda x: None if x is None else round(x, 6)
+    rows = [(w.source, near(w.exponent), near(w.limit_exponent), round(w.share, 6), w.short, round(exponent, 6), round(shares[w.source], 6)) for w in mixing.weights(sources)]
+    return spark.createDataFrame(rows, "source string, exponent double, limit_exponent double, share double, short boolean, common_exponent double, tempered_share double")
+
+
+def p7_tempered_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir)
+    return mixing.mix(cut_lineage(sizes), targets, tempering=True)
+
+
+def p7_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, targets = _sizes(spark, sf_dir)
-    sources = mixing.read_sources(mixing.source_totals(sizes, targets))
-    of = {s.name: s.tokens for s in sources}
-    by_entropy = mixing.exponent_for_entropy(of, mixing.entropy({s.name: s.target for s in sources}))
-    by_repeats = mixing.exponent_for_repeats(of, {s.name: float(s.max_repeats) for s in sources})
-    a, b = mixing.tempered(of, by_entropy), mixing.tempered(of, by_repeats)
-    rows = [(s, n, round(by_entropy, 6), round(a[s], 6), round(by_repeats, 6), round(b[s], 6)) for s, n in of.items()]
-    return spark.createDataFrame(rows, "source string, tokens long, entropy_exponent double, entropy_share double, repeats_exponent double, repeats_share double")
+    sizes = cut_lineage(sizes)
+    return mixing.reached(mixing.mix(sizes, targets, tempering=True), mixing.source_totals(sizes, targets))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +101,7 @@ WHERE hw <> '' AND len(bag) > 0
 WINDOW w AS (PARTITION BY source, pos, hw, bag)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_tempered": p7_tempered, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_weights": p7_weights, "p7_tempered_mix": p7_tempered_mix, "p7_tempered_shares": p7_tempered_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL = {
     "p4_found": f"SELECT first_row_id, row_id FROM ({_COPIES}) WHERE row_id <> first_row_id",
     "p4_counts": f"SELECT first_row_id, copies FROM ({_COPIES}) WHERE row_id = first_row_id",
