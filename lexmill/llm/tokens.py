@@ -1,18 +1,21 @@
 """Token ids of a public byte-level BPE vocabulary, by recursive SQL in each partition.
 
 Texts are cut into words by the vocabulary's pattern. The distinct words that a worker hasn't met go into an embedded
-SQL engine as token-position rows. A recursive query joins neighbouring tokens with the merge table and contracts the
-leftmost pair of minimum rank until nothing merges; an ordered aggregation then gives each word's ids.
-
-A long word is contracted at several places at once: a pair is taken if no pair within its reach has a smaller rank; of
-overlapping pairs of one rank, which form a run, every other is taken from the left, once its start is
-free. Whatever merges of smaller rank could build up to this pair would be a token that holds both, so reach is the
-byte length of the longest token of smaller rank, and the result is the one that a single merge at a time gives.
+SQL engine as token-position rows: a row for each token with the next one and its position. A recursive query joins
+neighbouring tokens with the merge table, finds each word's pair of minimum rank and contracts it, from the left,
+until nothing merges; an ordered aggregation then gives each word's ids. A pair that occurs in a word several times is
+contracted at all of its places in one round, as one after the other would: a pair that a contraction makes has a larger
+rank, so nothing could come in between. Of places that overlap, which only a pair of equal tokens has, every other one is
+taken.
+
+One query serves words of any length, which it cuts into cells no shorter than any token that the word could hold. What
+merges of smaller rank build up next to a pair and could take part of it away would be a token that holds both, so only
+merges in its own and the neighbouring cells matter: in each round every cell contracts its pair of minimum rank if its
+neighbours have no smaller one. The leftmost pair of minimum rank of a word is always among those.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,69 +34,54 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 #: words, and ids of words, that a worker remembers; the memory is emptied when full
 MEMORY_WORDS, MEMORY_IDS = 200_000, 3_000_000
 #: bytes of distinct words that go into one recursive query, a longer word alone
-BATCH_BYTES = 200_000
-#: bytes up to which a word is contracted one pair at a time
-SHORT_WORD = 32
-#: contractions of one recursive query over long words, of which each keeps a copy of what is left; words that aren't done
-#: go into another
-ROUNDS, ROUNDS_OF_LONGEST = 40, 6
-
-#: each word's leftmost pair of minimum rank, packed with its place and product into one number
-_SHORT = """
-WITH RECURSIVE state(word, toks, step) AS (
-    SELECT word, toks, 0 FROM pieces
-    UNION ALL
-    SELECT s.word, list_concat(list_append(s.toks[:b.place - 1], b.merged), s.toks[b.place + 2:]), s.step + 1
-    FROM state s JOIN (
-        SELECT word, min(m.rank * 4294967296 + p.place * 65536 + m.merged) AS best, (best // 65536) % 65536 AS place, best % 65536 AS merged
-        FROM (SELECT word, unnest(range(1, len(toks))) AS place, unnest(toks[:-2]) AS a, unnest(toks[2:]) AS b FROM state) p
-        JOIN merges m ON p.a = m.a AND p.b = m.b
-        GROUP BY word
-    ) b USING (word)
-)
-SELECT word, arg_max(toks, step) AS ids, 0 AS step FROM state GROUP BY word
-"""
-
-_LONG = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-    SELECT word, unnest(range(len(toks))) AS pos, unnest(toks) AS tok, 0 FROM pieces
+BATCH_BYTES = 400_000
+#: token-position rows that one recursive query may gather over its rounds; words that aren't done then go into another
+GATHERED_ROWS = 8_000_000
+#: a position is a word's number in the query and a place within the word; a cell likewise
+PLACE_BITS = 36
+
+_CONTRACT = f"""
+WITH RECURSIVE state(pos, nxt, cell, tok, ntok, rank, merged, step) AS (
+    SELECT p.pos, p.nxt, p.cell, p.tok, p.ntok, m.rank, m.merged, 0 FROM pieces p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.ntok
     UNION ALL
     (
-        WITH pairs AS (
-            SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state
-        ), ranked AS (
-            SELECT p.*, m.merged, m.rank, coalesce(m.{reach}, 0) AS reach FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
-        {pick}
-        ), kept AS (
-            SELECT *, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone, bool_or(take) OVER (PARTITION BY word) AS goes_on FROM picked
+        WITH best AS MATERIALIZED (
+            SELECT cell, min(rank) AS rank FROM state WHERE rank IS NOT NULL AND step < $rounds GROUP BY 1
+        ), alive AS (
+            SELECT DISTINCT cell >> {PLACE_BITS} AS word FROM best
+        ), around AS (
+            SELECT b.cell, b.rank FROM best b LEFT JOIN best l ON l.cell = b.cell - 1 LEFT JOIN best r ON r.cell = b.cell + 1 WHERE b.rank = least(b.rank, l.rank, r.rank)
+        ), least AS MATERIALIZED (
+            SELECT s.pos, s.pos >> {PLACE_BITS} AS word, s.nxt AS gone, s.rank, s.merged, s.tok = s.ntok AS twin FROM state s JOIN around b ON s.cell = b.cell AND s.rank = b.rank
+        ), chained AS (
+            SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS n, coalesce(lag(gone) OVER (PARTITION BY word ORDER BY pos) = pos, false) AS goes_on FROM least WHERE twin
+        ), runs AS (
+            SELECT *, max(CASE WHEN NOT goes_on THEN n END) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM chained
+        ), hanging AS (
+            SELECT r.word, r.run FROM runs r JOIN state o ON o.nxt = r.pos AND o.rank = r.rank WHERE NOT r.goes_on
+        ), picked AS (
+            SELECT pos, gone, merged FROM least WHERE NOT twin
+            UNION ALL
+            SELECT pos, gone, merged FROM runs ANTI JOIN hanging USING (word, run) WHERE (n - run) % 2 = 0
+        ), taken AS MATERIALIZED (
+            SELECT k.pos, k.gone, k.merged, q.nxt AS after, q.ntok FROM picked k JOIN state q ON q.pos = k.gone
+        ), moved AS (
+            SELECT s.pos, s.cell, CASE WHEN k.pos IS NULL THEN s.nxt ELSE k.after END AS nxt, coalesce(k.merged, s.tok) AS tok, CASE WHEN k.pos IS NULL THEN s.ntok ELSE k.ntok END AS ntok, s.rank, s.merged, k.pos IS NOT NULL AS new, s.step + 1 AS step
+            FROM state s SEMI JOIN alive b ON s.pos >> {PLACE_BITS} = b.word ANTI JOIN taken g ON s.pos = g.gone LEFT JOIN taken k ON s.pos = k.pos
+        ), facing AS MATERIALIZED (
+            SELECT m.pos, m.nxt, m.cell, m.tok, coalesce(n.merged, m.ntok) AS ntok, m.rank, m.merged, m.new OR n.pos IS NOT NULL AS new, m.step FROM moved m LEFT JOIN taken n ON m.nxt = n.pos
         )
-        SELECT word, pos, CASE WHEN take THEN merged ELSE tok END, step + 1 FROM kept WHERE goes_on AND NOT gone AND step < {rounds}
+        SELECT pos, nxt, cell, tok, ntok, rank, merged, step FROM facing WHERE NOT new
+        UNION ALL
+        SELECT f.pos, f.nxt, f.cell, f.tok, f.ntok, m.rank, m.merged, f.step FROM facing f LEFT JOIN merges m ON m.a = f.tok AND m.b = f.ntok WHERE f.new
     )
 )
-SELECT word, list(tok ORDER BY pos) AS ids, any_value(step) AS step
-FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
-GROUP BY word
+SELECT s.pos >> {PLACE_BITS} AS word, list(s.tok ORDER BY s.pos) AS ids, any_value(s.step) AS step
+FROM state s JOIN (SELECT pos >> {PLACE_BITS} AS word, max(step) AS step FROM state GROUP BY 1) l ON s.pos >> {PLACE_BITS} = l.word AND s.step = l.step
+GROUP BY 1
 """
 
 
-#: a pair is taken if it has the smallest (rank, position) in reach; runs of equal pairs then shrink from the left only
-_PICK_FIRST = """), picked AS (
-            SELECT *, rank IS NOT NULL AND rank * 4294967296 + pos = min(rank * 4294967296 + pos) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS take
-            FROM ranked"""
-#: a pair is taken if it has the smallest rank in reach, of a run of such pairs every other one
-_PICK_RUNS = """), least AS (
-            SELECT *, rank IS NOT NULL AND rank = min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING) AS fits
-            FROM ranked
-        ), runs AS (
-            SELECT *, count(*) FILTER (NOT fits) OVER (PARTITION BY word ORDER BY pos) AS run,
-                fits AND NOT lag(fits, 1, true) OVER (PARTITION BY word ORDER BY pos) AND coalesce(rank = lag(rank) OVER (PARTITION BY word ORDER BY pos), false) AS hangs
-            FROM least
-        ), picked AS (
-            SELECT *, fits AND row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = (CASE WHEN run = 0 THEN 1 ELSE 0 END)
-                AND NOT bool_or(hangs) OVER (PARTITION BY word, run) AS take
-            FROM runs"""
-
-
 def byte_letters() -> dict[str, int]:
     """The printable letter that the vocabulary file writes for each byte, by its rule: printable Latin-1 stands for
     itself, the rest are numbered upwards from code point 256."""
@@ -116,34 +104,23 @@ class Tokenizer:
         for letter, b in letters.items():
             self.byte_ids[b] = ids[letter]
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in ids.items() if all(c in letters for c in t)}
-        self.letters_only = regex.compile(r" ?[A-Za-z]+")
         self.words = regex.compile(WORD_PATTERN)
+        self.letters_only = regex.compile(r" ?[A-Za-z]+")
+        of_letters = regex.compile(rb" ?[A-Za-z]+")
+        self.longest = max(map(len, self.bytes_of.values()))
+        self.longest_of_letters = max(len(b) for b in self.bytes_of.values() if of_letters.fullmatch(b))
         self.memory: dict[str, list[int]] = {}
         self.remembered = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         products = [ids[a + b] for a, b in merges]
-        if max(ids.values()) >= 65536:
-            raise ValueError("ids must fit 16 bits")
-        letters_only = [regex.fullmatch(rb" ?[A-Za-z]+", self.bytes_of[i]) is not None for i in products]
-        rows = pa.table(
-            {
-                "a": pa.array([ids[a] for a, _ in merges], pa.int32()),
-                "b": pa.array([ids[b] for _, b in merges], pa.int32()),
-                "merged": pa.array(products, pa.int64()),
-                "rank": pa.array(range(len(merges)), pa.int64()),
-                "reach_letters": self._reach([len(self.bytes_of[i]) if l else 0 for i, l in zip(products, letters_only, strict=True)]),
-                "reach_any": self._reach([len(self.bytes_of[i]) for i in products]),
-            }
-        )
+        rows = pa.table({"a": pa.array([ids[a] for a, _ in merges], pa.int32()), "b": pa.array([ids[b] for _, b in merges], pa.int32()), "merged": pa.array(products, pa.int32()), "rank": pa.array(range(len(merges)), pa.int32())})
+        made = {token: rank for rank, token in enumerate(products)}
+        if len(made) < len(products) or any(made.get(ids[part], -1) >= rank for rank, pair in enumerate(merges) for part in pair):
+            raise ValueError("a pair must have a larger rank than the pairs its tokens are made of")
         self.db.register("merge_rows", rows)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.unregister("merge_rows")
 
-    @staticmethod
-    def _reach(lengths: list[int]) -> pa.Array:
-        """For each rank, the length of the longest token of smaller rank, at least 2."""
-        return pa.array(np.maximum.accumulate([2, *lengths[:-1]]).astype(np.int32))
-
     def split(self, text: str) -> list[str]:
         return self.words.findall(text)
 
@@ -154,38 +131,40 @@ class Tokenizer:
             self.memory.clear()
             self.remembered = 0
             new = list(words)
-        kinds: dict[str, list[tuple[str, list[int]]]] = {"short": [], "reach_letters": [], "reach_any": []}
+        batch: list[tuple[str, list[int]]] = []
+        size = 0
         for word in new:
             toks = [self.byte_ids[x] for x in word.encode("utf-8", "replace")]
-            kind = "short" if len(toks) <= SHORT_WORD else "reach_letters" if self.letters_only.fullmatch(word) else "reach_any"
-            kinds[kind].append((word, toks))
-        for kind, coded in kinds.items():
-            batch, size = [], 0
-            for word, toks in coded:
-                if batch and size + len(toks) > BATCH_BYTES:
-                    self._contract(batch, kind)
-                    batch, size = [], 0
-                batch.append((word, toks))
-                size += len(toks)
-            self._contract(batch, kind)
-
-    def _contract(self, batch: list[tuple[str, list[int]]], kind: str) -> None:
+            if batch and size + len(toks) > BATCH_BYTES:
+                self._contract(batch)
+                batch, size = [], 0
+            batch.append((word, toks))
+            size += len(toks)
+        self._contract(batch)
+
+    def _contract(self, batch: list[tuple[str, list[int]]]) -> None:
         """Recursive queries until every word of the batch is at its fixpoint."""
-        pick = _PICK_FIRST if sum(len(toks) for _, toks in batch) <= BATCH_BYTES else _PICK_RUNS
         while batch:
-            rounds = ROUNDS if sum(len(toks) for _, toks in batch) <= BATCH_BYTES else ROUNDS_OF_LONGEST
-            pieces = pa.table({"word": pa.array(range(len(batch)), pa.int32()), "toks": pa.array([toks for _, toks in batch], pa.list_(pa.int64()))})
-            self.db.register("pieces", pieces)
-            done = self.db.sql(_SHORT if kind == "short" else _LONG.format(reach=kind, rounds=rounds, pick=pick)).to_arrow_table()
+            lengths = np.array([len(toks) for _, toks in batch], np.int64)
+            starts = np.cumsum(lengths) - lengths
+            place = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+            pos = np.repeat(np.arange(len(batch), dtype=np.int64) << PLACE_BITS, lengths) + place
+            last = place + 1 == np.repeat(lengths, lengths)
+            width = np.array([self.longest_of_letters if self.letters_only.fullmatch(word) else self.longest for word, _ in batch])
+            cell = (pos - place) + place // np.repeat(width, lengths)
+            tok = np.fromiter((t for _, toks in batch for t in toks), np.int32, len(pos))
+            rounds = max(4, GATHERED_ROWS // max(len(pos), 1))
+            self.db.register("pieces", pa.table({"pos": pa.array(pos), "nxt": pa.array(pos + 1, mask=last), "cell": pa.array(cell), "tok": pa.array(tok), "ntok": pa.array(np.roll(tok, -1), mask=last)}))
+            done = self.db.sql(_CONTRACT, params={"rounds": rounds}).to_arrow_table()
             self.db.unregister("pieces")
             rest = []
             for n, ids, step in zip(done.column("word").to_pylist(), done.column("ids").to_pylist(), done.column("step").to_pylist(), strict=True):
-                if kind != "short" and step == rounds:
+                if step == rounds:
                     rest.append((batch[n][0], ids))
                 else:
                     self.memory[batch[n][0]] = ids
                     self.remembered += len(ids)
-            batch, pick = rest, _PICK_RUNS  # what isn't done soon is likely to have runs
+            batch = rest
 
     def word_ids(self, texts: list[str | None]) -> Iterator[list[list[int]]]:
         """The ids of each word of each text; none for null and empty texts."""
@@ -248,9 +227,3 @@ def with_token_counts(docs: DataFrame, text: str = "text", into: str = "n_tokens
             yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], totals], names=[*names, into])
 
     return docs.select(*names, text).mapInArrow(count, schema)
-
-
-def read_ranks(path: str) -> dict[bytes, int]:
-    """A rank file: base64 of a token and its rank on each line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
