@@ -3,8 +3,10 @@
 A sample of bounded size fits the index: its neighbour graph is cut into balanced partitions, and a small classifier
 learns, for a vector, the distribution of its neighbours over the partitions. Every vector is then stored in its most
 probable partition and looks for neighbours in several most probable ones, as many as held-out sample vectors need for
-the target recall. Vectors travel in blocks; a pair of blocks is one matrix product in double precision, so no task
-holds more than a few blocks whatever the size of a partition. Equal vectors are searched once.
+the target recall. Partitions are small and their number grows with the vectors, so that the share of the collection
+that a vector meets falls; partitions that are neighbours stand on one shelf, and a vector travels to a shelf once,
+whatever number of its partitions it visits. Vectors travel in blocks; on a shelf each partition is one matrix product in
+double precision, so no task holds more than a few blocks whatever the size of a shelf. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ K = 10
 FIT_VECTORS = 10_000
 #: distinct vectors that a partition should hold, and the sample's vectors that a partition needs to be learned: a larger
 #: sample teaches more partitions
-PARTITION_VECTORS = 400
-TEACHING_VECTORS = 80
-#: vectors that are compared as one block, and visits that one group of blocks of a partition serves
+PARTITION_VECTORS = 100
+TEACHING_VECTORS = 20
+#: partitions that stand on a shelf
+SHELF_PARTITIONS = 30
+#: vectors that are compared as one block, and visits that one group of blocks of a shelf serves
 BLOCK_VECTORS = 2_048
 GROUP_VISITS = 16_384
 #: share of the true neighbours of held-out sample vectors that the probed partitions must hold
@@ -56,7 +60,7 @@ def balanced_partition(points: np.ndarray, near: np.ndarray, parts: int, rng: np
     first, then each point moves to the part that holds most of its neighbours and has room."""
     room = int(np.ceil(SLACK * len(points) / parts))
     centres = points[rng.choice(len(points), parts, replace=False)]
-    for _ in range(12):
+    for _ in range(8):
         labels = _fill(points @ centres.T, room)
         centres = np.stack([points[labels == p].mean(0) if (labels == p).any() else points[rng.integers(len(points))] for p in range(parts)])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
@@ -99,13 +103,14 @@ def _fill(sims: np.ndarray, room: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Router:
-    """A network of one hidden layer, and the number of partitions to look in."""
+    """A network of one hidden layer, the number of partitions to look in, and the shelf of each partition."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
     probes: int
+    shelf: np.ndarray
 
     def scores(self, points: np.ndarray) -> np.ndarray:
         return np.maximum(points.astype(np.float32) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -115,7 +120,7 @@ class Router:
         return np.argsort(-scores, axis=1, kind="stable")[:, : probes or self.probes]
 
 
-def train(points: np.ndarray, targets: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 30, batch: int = 256, rate: float = 3e-3) -> tuple:
+def train(points: np.ndarray, targets: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 20, batch: int = 256, rate: float = 3e-3) -> tuple:
     """Soft-label cross-entropy by Adam."""
     x, y = points.astype(np.float32), targets.astype(np.float32)
     shapes = [(x.shape[1], hidden), (hidden,), (hidden, y.shape[1]), (y.shape[1],)]
@@ -145,7 +150,7 @@ def fit(sample: np.ndarray, parts: int, target: float = TARGET_RECALL, seed: int
     rng = np.random.default_rng(seed)
     points = unit(sample)
     if parts <= 1 or len(points) <= 2 * K:
-        return Router(np.zeros((points.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1)
+        return Router(np.zeros((points.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1, np.zeros(1, np.int32))
     near = graph(points, GRAPH_DEGREE)
     labels = balanced_partition(points, near, parts, rng)
     targets = np.zeros((len(points), parts), np.float32)
@@ -153,13 +158,16 @@ def fit(sample: np.ndarray, parts: int, target: float = TARGET_RECALL, seed: int
     np.add.at(targets, (np.arange(len(points)), labels), near.shape[1] / 2)
     targets /= targets.sum(1, keepdims=True)
     held = rng.permutation(len(points)) < max(200, len(points) // 10)
-    draft = Router(*train(points[~held], targets[~held], rng), 1)
+    centres = unit(np.stack([points[labels == p].mean(0) if (labels == p).any() else points[p] for p in range(parts)]))
+    shelves = -(-parts // SHELF_PARTITIONS)
+    shelf = balanced_partition(centres, graph(centres, 4), shelves, rng).astype(np.int32) if shelves > 1 else np.zeros(parts, np.int32)
+    draft = Router(*train(points[~held], targets[~held], rng), 1, shelf)
     home = draft.route(points, 1)[:, 0]
     routes = draft.route(points[held], parts)
-    wanted = home[near[held]]
-    found = np.array([np.isin(wanted, -1).mean()] + [(wanted[:, :, None] == routes[:, None, :m]).any(2).mean() for m in range(1, parts + 1)])
-    probes = min(parts, int(np.argmax(found >= target)) + 1)
-    return Router(*train(points, targets, rng), probes)
+    place = np.empty_like(routes)  # of each partition on the route of a held-out vector
+    np.put_along_axis(place, routes, np.broadcast_to(np.arange(parts), routes.shape), 1)
+    probes = int(np.sort(np.take_along_axis(place, home[near[held]], 1).ravel())[int(np.ceil(target * near[held].size)) - 1]) + 1
+    return Router(*train(points, targets, rng), probes, shelf)
 
 
 def _key(vector: Column) -> list[Column]:
@@ -189,7 +197,8 @@ def sample_vectors(distinct: DataFrame, size: int) -> np.ndarray:
 
 
 def routed(distinct: DataFrame, router: Router) -> DataFrame:
-    """A row for each vector and partition to visit; home marks the most probable one, where the vector is stored."""
+    """A row for each vector and shelf to visit with the partitions there; part is the most probable one, where the
+    vector is stored, on its shelf and -1 on others."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,11 +206,18 @@ def routed(distinct: DataFrame, router: Router) -> DataFrame:
                 continue
             vec = batch.column(1)
             to = router.route(unit(_matrix(vec)))
-            at = pa.array(np.repeat(np.arange(batch.num_rows), to.shape[1]))
-            home = pa.array(np.tile(np.arange(to.shape[1]) == 0, batch.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), home, batch.column(0).take(at), vec.take(at)], names=["part", "home", "rid", "vec"])
+            row = np.repeat(np.arange(len(to)), to.shape[1])
+            part, shelf = to.ravel(), router.shelf[to.ravel()]
+            order = np.lexsort((part, shelf, row))
+            row, part, shelf = row[order], part[order], shelf[order]
+            opens = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])])
+            at, shelf = row[opens], shelf[opens]
+            home = np.where(router.shelf[to[at, 0]] == shelf, to[at, 0], -1)
+            parts = pa.ListArray.from_arrays(pa.array(np.r_[opens, len(part)], pa.int32()), pa.array(part, pa.int32()))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(shelf, pa.int32()), pa.array(home, pa.int32()), parts, batch.column(0).take(take), vec.take(take)], names=["shelf", "part", "parts", "rid", "vec"])
 
-    return distinct.select("rid", "vec").mapInArrow(route, "part int, home boolean, rid long, vec array<float>")
+    return distinct.select("rid", "vec").mapInArrow(route, "shelf int, part int, parts array<int>, rid long, vec array<float>")
 
 
 def _matrix(vec: pa.Array) -> np.ndarray:
@@ -209,49 +225,65 @@ def _matrix(vec: pa.Array) -> np.ndarray:
 
 
 def in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Members and visits of each partition packed into blocks of about so many vectors. sizes: a row for each partition
-    with its members and visits.
+    """Members and visits of each shelf packed into blocks of about so many vectors. sizes: a row for each shelf with its
+    members and visits.
 
-    A partition's visits are dealt to groups of bounded size and its members copied to each group, so that a partition of
-    any size is many tasks. Both sides are shuffled once, by partition and group: packing and joining keep that layout.
+    A shelf's visits are dealt to groups of bounded size and its members copied to each group, so that a shelf of any
+    size is many tasks. Both sides are shuffled once, by shelf and group: packing and joining keep that layout.
     """
     groups = F.greatest(F.lit(1), F.ceil(F.col("visits") / F.lit(GROUP_VISITS))).cast("int")
-    sizes = F.broadcast(sizes.withColumn("groups", groups))  # a row for each partition
+    sizes = F.broadcast(sizes.withColumn("groups", groups))  # a row for each shelf
     dealt = F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int")
     member_block = F.pmod(F.xxhash64(F.lit("m"), "rid"), F.ceil(F.col("members") / F.lit(block)).cast("int"))
     visit_block = F.pmod(F.xxhash64(F.lit("v"), "rid"), F.ceil(F.col("visits") / (F.col("groups") * F.lit(block))).cast("int"))
-    placed = rows.join(sizes, "part")
-    members = placed.filter("home").select("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), member_block.alias("block"), "rid", "vec")
-    visits = placed.select("part", dealt.alias("group"), visit_block.alias("block"), "rid", "vec")
-    pack = lambda side, name: side.repartition("part", "group").groupBy("part", "group", "block").agg(F.collect_list(F.struct("rid", "vec")).alias(name)).drop("block")
-    return pack(members, "members"), pack(visits, "queries")
+    placed = rows.join(sizes, "shelf")
+    members = placed.filter("part >= 0").select("shelf", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), member_block.alias("block"), "rid", "vec", "part")
+    visits = placed.select("shelf", dealt.alias("group"), visit_block.alias("block"), "rid", "vec", "parts")
+    pack = lambda side, name, has: side.repartition("shelf", "group").groupBy("shelf", "group", "block").agg(F.collect_list(F.struct("rid", "vec", has)).alias(name)).drop("block")
+    return pack(members, "members", "part"), pack(visits, "queries", "parts")
 
 
 #: score of a candidate: cosine in millionths, negative so that ascending order is by cosine, then by id
 _CANDIDATES = "rid long, found array<struct<score:int,id:long>>"
 
 
-def best_in_block(queries: np.ndarray, members: np.ndarray, member_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(negative cosine in millionths, id) of the k best members of each query, ties to the smaller id. member_ids rise."""
-    sims = np.rint((queries @ members.T) * 1e6).astype(np.int64)
-    key = -sims * len(member_ids) + np.arange(len(member_ids))
-    k = min(k, len(member_ids))
-    at = np.argpartition(key, k - 1, axis=1)[:, :k]
-    return -np.take_along_axis(sims, at, 1), member_ids[at]
+NOTHING = np.iinfo(np.int64).max
+
+
+def best_keys(queries: np.ndarray, members: np.ndarray, places: np.ndarray, total: int, k: int) -> np.ndarray:
+    """The k best members of each query, each as one number that rises with the cosine in millionths falling, then with
+    the member's place among total ones in the order of their ids."""
+    keys = -np.rint((queries @ members.T) * 1e6).astype(np.int64) * total + places
+    return np.partition(keys, k - 1, axis=1)[:, :k] if k < keys.shape[1] else keys
 
 
 def compare_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """The k + 1 best distinct vectors of a member block for each vector of a query block."""
+    """The k + 1 best distinct vectors of a member block for each vector of a query block, of the partitions it visits."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, m in zip(batch.column(0), batch.column(1), strict=True):
                 q, m = q.values, m.values
-                member_ids = m.field("rid").to_numpy()
-                order = np.argsort(member_ids, kind="stable")
-                score, ids = best_in_block(unit(_matrix(q.field("vec"))), unit(_matrix(m.field("vec")))[order], member_ids[order], k + 1)
-                ends = pa.array(np.arange(0, score.size + 1, score.shape[1]), pa.int32())
-                found = pa.StructArray.from_arrays([pa.array(score.ravel(), pa.int32()), pa.array(ids.ravel(), pa.int64())], ["score", "id"])
+                ids = m.field("rid").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids, part = ids[order], m.field("part").to_numpy()[order]
+                queries, members = unit(_matrix(q.field("vec"))), unit(_matrix(m.field("vec")))[order]
+                visits = q.field("parts")
+                visitor, visited = np.repeat(np.arange(len(queries)), visits.value_lengths().to_numpy()), visits.flatten().to_numpy()
+                here = np.unique(part)
+                best = np.full((len(queries), len(here), k + 1), NOTHING)
+                for n, p in enumerate(here):
+                    rows, at = visitor[visited == p], np.flatnonzero(part == p)
+                    if len(rows):
+                        keys = best_keys(queries[rows], members[at], at, len(ids), k + 1)
+                        best[rows, n, : keys.shape[1]] = keys
+                best = best.reshape(len(queries), -1)
+                if best.shape[1] > k + 1:
+                    best = np.partition(best, k, axis=1)[:, : k + 1]
+                kept = best != NOTHING
+                ends = pa.array(np.r_[0, np.cumsum(kept.sum(1))], pa.int32())
+                best = best[kept]
+                found = pa.StructArray.from_arrays([pa.array(best // len(ids), pa.int32()), pa.array(ids[best % len(ids)], pa.int64())], ["score", "id"])
                 yield pa.RecordBatch.from_arrays([q.field("rid"), pa.ListArray.from_arrays(ends, found)], names=["rid", "found"])
 
     return pairs.select("queries", "members").mapInArrow(compare, _CANDIDATES)
@@ -272,9 +304,9 @@ def nearest(vectors: DataFrame, key: str = "row_id", vector: str = "embedding",
     parts = max(1, min(fit_vectors // TEACHING_VECTORS, total // partition_vectors))
     router = fit(sample_vectors(distinct, fit_vectors), parts, target) if total else fit(np.ones((1, dim)), 1)
     rows_of = routed(distinct, router)
-    sizes = rows_of.groupBy("part").agg(F.sum(F.col("home").cast("int")).alias("members"), F.count("*").alias("visits"))
+    sizes = rows_of.groupBy("shelf").agg(F.count(F.when(F.col("part") >= 0, 1)).alias("members"), F.count("*").alias("visits"))
     members, queries = in_blocks(rows_of, sizes.filter("members > 0"), block)
-    found = compare_blocks(queries.join(members, ["part", "group"]), k)
+    found = compare_blocks(queries.join(members, ["shelf", "group"]), k)
     best = found.groupBy("rid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     # copies: each distinct neighbour stands for its smallest ids, the vector itself among them with cosine 1
     expanded = best.select("rid", F.posexplode("found").alias("n", "f")).select("rid", "f.score", F.col("f.id").alias("other"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip_pos_suffix
 from lexmill.llm import copies, linkage, lookalike, mixing, neighbours, splitting, tokens
+from lexmill.operators import vectors
 from lexmill.session import cut_lineage, spread, table
 
 
@@ -41,6 +42,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("row_id"), "neighbour_id")
 
 
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """queries, pairs (of each and its 10 exact neighbours) and whether p5_found has 0.9 of them, for the vectors whose id
+    is divisible by 20 against all."""
+    rows = vectors.usable(table(spark, sf_dir, "sense_embeddings"), "row_id", "embedding", neighbours.DIM)
+    exact = vectors.batch_top_k(rows.filter(F.col("key") % 20 == 0), rows, neighbours.K, neighbours.DIM)
+    found = p5_found(spark, sf_dir).filter(F.col("row_id") % 20 == 0).select(F.col("row_id").alias("query_id"), F.col("neighbour_id").alias("key"), F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "key"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -101,8 +112,12 @@ WHERE hw <> '' AND len(bag) > 0
 WINDOW w AS (PARTITION BY source, pos, hw, bag)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_weights": p7_weights, "p7_tempered_mix": p7_tempered_mix, "p7_tempered_shares": p7_tempered_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p5_recall": p5_recall, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_weights": p7_weights, "p7_tempered_mix": p7_tempered_mix, "p7_tempered_shares": p7_tempered_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
+_VECTORS = "(SELECT row_id, embedding::DOUBLE[] AS vec FROM sense_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
+
 SQL = {
+    "p5_recall": f"""SELECT count(DISTINCT query_id) AS queries, count(*) AS pairs, true AS enough FROM (SELECT a.row_id AS query_id, row_number() OVER (PARTITION BY a.row_id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.row_id) AS n
+ FROM {_VECTORS} a JOIN {_VECTORS} b ON a.row_id % 20 = 0 AND a.row_id <> b.row_id) WHERE n <= 10""",
     "p4_found": f"SELECT first_row_id, row_id FROM ({_COPIES}) WHERE row_id <> first_row_id",
     "p4_counts": f"SELECT first_row_id, copies FROM ({_COPIES}) WHERE row_id = first_row_id",
 }
