@@ -1,20 +1,23 @@
 """Visually identical text brought to one form by a compiled longest-match transducer.
 
-The mapping is computed once from rules (widths, fonts, ligatures, spaces, invisible characters) and a list of
-look-alike letters, checked for conflicts and for being idempotent, and compiled into one automaton over grapheme
-clusters: a match is the longest run of invisible characters or a base with all its marks. A text is rewritten in one
-pass, left to right; text in ASCII is its own canonical form and passes through untouched.
+The mapping from sequences of code points is computed once from rules (widths, fonts, ligatures, spaces, invisible
+characters) and lists of look-alike letters and of letters with overlaid marks. It is checked for conflicts and for being
+idempotent, and compiled into an automaton. A text is rewritten in one pass over its grapheme clusters: each is
+decomposed, the automaton replaces the longest sources from the left, and the result is composed. So marks count the same
+whether they come apart or together, and syllables whether they are written in letters or as one. Joiners and variation
+selectors stay where they change the look: in emoji and in scripts whose letters join. Spaces of any kind become plain
+ones, one for one. Text in ASCII is its own canonical form and passes through untouched.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +39,20 @@ LOOK_ALIKES = {
     # Latin letters and signs outside ASCII
     "ɑ": "a", "ɡ": "g", "ı": "i", "ǀ": "l", "ʏ": "y", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
     "‐": "-",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮍ": "Y", "Ꮓ": "Z",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
+    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+}
+# A letter with an overlaid mark, or with a dot that it has anyway, and the letter that looks the same.
+OVERLAID = {
+    "o\u0338": "ø", "O\u0338": "Ø", "o\u0337": "ø", "O\u0337": "Ø", "l\u0335": "ł", "L\u0335": "Ł", "l\u0337": "ł", "L\u0337": "Ł", "d\u0335": "đ", "D\u0335": "Đ",
+    "h\u0335": "ħ", "H\u0335": "Ħ", "t\u0335": "ŧ", "T\u0335": "Ŧ", "b\u0335": "ƀ", "i\u0307": "i", "j\u0307": "j", "ı\u0307": "i", "ȷ\u0307": "j",
 }
 
 #: compatibility tags whose characters look like what they stand for
@@ -45,8 +62,13 @@ SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 SAME_LOOK_RANGES = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0x01C7, 0x01CC), (0x01F1, 0x01F3))
 #: invisible characters that aren't of the format category
 INVISIBLE_RANGES = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
+#: format characters that are seen: number signs of Arabic and others, layout of hieroglyphs
+SEEN_RANGES = ((0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x0890, 0x0891), (0x08E2, 0x08E2), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1345F))
+#: joiners, variation selectors and tags, which stay after a letter of a joining script or an emoji
+CONTEXT_RANGES = ((0x200C, 0x200D), (0xFE00, 0xFE0F), (0xE0020, 0xE007F), (0xE0100, 0xE01EF), (0x180B, 0x180F))
 LAST_CODE_POINT = 0x1FFFF
 TAIL_CODE_POINTS = range(0xE0000, 0xE0200)
+_KEEPS_CONTEXT = regex.compile(r"[\p{Extended_Pictographic}\p{Regional_Indicator}\p{Script=Arabic}\p{Script=Syriac}\p{Script=Mongolian}\p{Script=Nko}\p{Script=Devanagari}\p{Script=Bengali}\p{Script=Gurmukhi}\p{Script=Gujarati}\p{Script=Oriya}\p{Script=Tamil}\p{Script=Telugu}\p{Script=Kannada}\p{Script=Malayalam}\p{Script=Sinhala}\p{Script=Khmer}\p{Script=Han}]")
 
 
 class MappingConflict(ValueError):
@@ -62,55 +84,88 @@ def rule_target(ch: str) -> str | None:
     code, category = ord(ch), unicodedata.category(ch)
     if code < 0x80:
         return None
-    if category == "Cf" or _within(INVISIBLE_RANGES, code):
+    if (category == "Cf" and not _within(SEEN_RANGES, code)) or _within(INVISIBLE_RANGES, code):
         return ""
     if category in ("Zs", "Zl", "Zp") or code == 0x85:
         return " "
     tag = unicodedata.decomposition(ch).split(" ")[0]
     if tag in SAME_LOOK_TAGS or (tag == "<compat>" and _within(SAME_LOOK_RANGES, code)):
-        return unicodedata.normalize("NFKC", ch)
+        return unicodedata.normalize("NFKD", ch)
     return None
 
 
 def build_mapping(pairs: list[tuple[str, str]]) -> dict[str, str]:
-    """One target for each source. Raises MappingConflict on two targets for a source, or on a target that the mapping
-    itself would change, so that applying it twice equals applying it once."""
+    """One target for each source, both decomposed. Raises MappingConflict on two targets for a source, or on a target
+    that the mapping itself would change, so that applying it twice equals applying it once."""
     mapping: dict[str, str] = {}
     for source, target in pairs:
+        source, target = unicodedata.normalize("NFD", source), unicodedata.normalize("NFD", target)
         if mapping.setdefault(source, target) != target:
             raise MappingConflict(f"{source!r}: {mapping[source]!r} and {target!r}")
-    for source, target in list(mapping.items()):
-        mapping[source] = target = "".join(mapping.get(c, c) for c in target)
-        if any(mapping.get(c, c) != c for c in target):
+    automaton = Automaton(mapping)
+    mapping = {source: automaton(target) for source, target in mapping.items()}
+    automaton = Automaton(mapping)
+    for source, target in mapping.items():
+        if automaton(target) != target:
             raise MappingConflict(f"{source!r} leads to {target!r}, which isn't canonical")
     return mapping
 
 
+class Automaton:
+    """A trie of the sources: state 0 is the start, next_ has the transitions of each state and out what is written for
+    the source that ends there, or None."""
+
+    def __init__(self, mapping: dict[str, str]):
+        self.next_: list[dict[str, int]] = [{}]
+        self.out: list[str | None] = [None]
+        for source, target in mapping.items():
+            state = 0
+            for c in source:
+                state = self.next_[state].setdefault(c, len(self.next_))
+                if state == len(self.next_):
+                    self.next_.append({})
+                    self.out.append(None)
+            self.out[state] = target
+
+    def __call__(self, text: str) -> str:
+        """The longest source from each place on replaced, other code points copied."""
+        written, at = [], 0
+        while at < len(text):
+            state, end, target, look = 0, at + 1, text[at], at
+            while look < len(text) and (state := self.next_[state].get(text[look], -1)) >= 0:
+                look += 1
+                if self.out[state] is not None:
+                    end, target = look, self.out[state]
+            written.append(target)
+            at = end
+        return "".join(written)
+
+
 @lru_cache(maxsize=1)
 def standard_mapping() -> dict[str, str]:
     codes = [*range(0x80, LAST_CODE_POINT + 1), *TAIL_CODE_POINTS]
     by_rule = [(c, t) for c in map(chr, codes) if (t := rule_target(c)) is not None]
-    return build_mapping([*by_rule, *LOOK_ALIKES.items()])
+    return build_mapping([*by_rule, *LOOK_ALIKES.items(), *OVERLAID.items()])
 
 
 class Transducer:
-    """Longest match over grapheme clusters: a base with its marks, among which invisible characters may hide, is
-    rewritten as one unit and composed; a run of spaces becomes one space."""
+    """The automaton over grapheme clusters. A cluster goes on over invisible characters among which its marks hide."""
 
     def __init__(self, mapping: dict[str, str]):
-        self.mapping = mapping
-        invisible = "".join(re.escape(c) for c, t in mapping.items() if t == "")
-        sources = "".join(re.escape(c) for c in mapping if mapping[c] != "")
-        self.marks = "".join(re.escape(chr(c)) for c in range(0x300, LAST_CODE_POINT) if unicodedata.category(chr(c)) == "Mn" and unicodedata.combining(chr(c)))
-        # a cluster of any base with marks, or a lone mapped character, or a run of invisible ones
-        self.pattern = re.compile(rf"[^{invisible}{self.marks}][{invisible}]*[{self.marks}][{invisible}{self.marks}]*|[{sources}]|[{invisible}]+")
+        self.anywhere = Automaton(mapping)
+        self.joining = Automaton({s: t for s, t in mapping.items() if not (len(s) == 1 and _within(CONTEXT_RANGES, ord(s)))})
+        invisible = "".join(regex.escape(s) for s, t in mapping.items() if t == "" and len(s) == 1)
+        self.pattern = regex.compile(rf"[ -~]+(?=[ -~])|\X(?:[{invisible}]+\p{{M}}\X?)*" if invisible else r"[ -~]+(?=[ -~])|\X")
         self.memo: dict[str, str] = {}
 
-    def cluster(self, match: re.Match) -> str:
+    def cluster(self, match: regex.Match) -> str:
         found = match.group()
+        if found.isascii():
+            return found
         target = self.memo.get(found)
         if target is None:
-            target = unicodedata.normalize("NFC", "".join(self.mapping.get(c, c) for c in found))
+            automaton = self.joining if _KEEPS_CONTEXT.match(found) else self.anywhere
+            target = unicodedata.normalize("NFC", automaton(unicodedata.normalize("NFD", found)))
             if len(self.memo) < 50_000:
                 self.memo[found] = target
         return target

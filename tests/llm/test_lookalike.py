@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexmill.llm.lookalike import MappingConflict, Transducer, build_mapping, look_alike_rows, standard_mapping, transducer, with_canonical
+from lexmill.llm.lookalike import Automaton, MappingConflict, Transducer, build_mapping, look_alike_rows, standard_mapping, transducer, with_canonical
 
 
 @pytest.mark.parametrize(
@@ -25,6 +25,17 @@ from lexmill.llm.lookalike import MappingConflict, Transducer, build_mapping, lo
         ("ν", "v"),
         ("set", "set"),
         ("", ""),
+        ("\u1100\u1161", "\uac00"),
+        ("\u0600\u0661", "\u0600\u0661"),
+        ("👩\u200d👩\u200d👧", "👩\u200d👩\u200d👧"),
+        ("❤\ufe0f", "❤\ufe0f"),
+        ("می\u200cخواهم", "می\u200cخواهم"),
+        ("o\u0338re", "øre"),
+        ("i\u0307\u0301", "í"),
+        ("\u0451", "ë"),
+        ("\u0435\u0308", "ë"),
+        ("ᎪᏴ ꓐꓑ Ⲏⲟ", "AB BP Ho"),
+        ("a\u00a0\u2003b  c", "a  b  c"),
         ("書", "書"),
         ("№", "№"),
         ("ærlig", "ærlig"),
@@ -41,10 +52,24 @@ def test_twice_is_once(text):
     assert transducer()(once) == once
 
 
+def test_every_code_point():
+    apply = transducer()
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]):
+        for text in (c, f"a{c}b", f"a{c}\u0301"):
+            once = apply(text)
+            assert apply(once) == once
+        assert apply(unicodedata.normalize("NFD", c + "\u0301")) == apply(unicodedata.normalize("NFC", c + "\u0301"))
+
+
+def test_longest_source_wins():
+    automaton = Automaton({"a": "1", "ab": "2", "abcd": "3"})
+    assert [automaton(x) for x in ("a", "ab", "abc", "abcd", "xabca")] == ["1", "2", "2c", "3", "x2c1"]
+
+
 @given(st.text(st.characters(max_codepoint=0x24F)))
 def test_plain_latin_is_only_composed(text):
     mapping = standard_mapping()
-    if not any(c in mapping for c in text):
+    if not any(source in unicodedata.normalize("NFD", text) for source in mapping):
         assert transducer()(text) == unicodedata.normalize("NFC", text)
 
 
