@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from lexmill.functions.models import HashedEmbedder
 from lexmill.functions.phonetics import ARPABET_VOWELS
 from lexmill.operators.filters import CATEGORIES
 from lexmill.operators.order import SORT_MODES
@@ -46,7 +47,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session()
     request = SearchRequest(query, args.n, args.sort, args.category, args.syllables, args.primary_vowel, args.rhymes_with, args.sounds_like, args.meter)
     try:
-        rows = Lexicon(read_index(spark, args.index)).search(request).rows().orderBy("position")
+        index = read_index(spark, args.index)
+        vector = index.filter("embedding IS NOT NULL").select(F.size("embedding").alias("dim")).first()
+        rows = Lexicon(index, HashedEmbedder(vector["dim"]) if vector else None).search(request).rows().orderBy("position")
     except ValueError as problem:
         print(problem, file=sys.stderr)
         return 2

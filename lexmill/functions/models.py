@@ -100,6 +100,22 @@ class TableResolver:
         return self.entries.get((word.lower(), pos)) or self.entries.get(word.lower())
 
 
+class IndexResolver:
+    """Phonetics of a word from the rows of an index that have any: those of the part of speech asked for first, then in
+    row order. Words of several parts have none."""
+
+    def __init__(self, senses: DataFrame):
+        self.senses = senses
+
+    def resolve(self, word: str, pos: str) -> dict | None:
+        word = word.strip().lower()
+        if not word or " " in word or "-" in word:
+            return None
+        known = self.senses.filter((F.col("headword_lc") == word) & F.col("phonetics").isNotNull() & (F.size("phonetics.phonemes") > 0))
+        rows = known.orderBy(F.coalesce(F.col("pos") != pos, F.lit(True)), "row_id").select("phonetics").limit(1).collect()
+        return rows[0]["phonetics"].asDict() if rows else None
+
+
 def embed_definitions(texts: DataFrame, embedder: Embedder, text: str = "definition", into: str = "embedding") -> DataFrame:
     """Vectors of a column of distinct texts, in Arrow batches; the model is loaded once for a worker."""
     schema = T.StructType([*[f for f in texts.schema.fields if f.name != into], T.StructField(into, T.ArrayType(T.FloatType()))])

@@ -47,6 +47,17 @@ def headwords(senses: DataFrame, row_id: str = "row_id") -> DataFrame:
     return senses.filter(F.col("headword").isNotNull()).groupBy(F.lower("headword").alias("headword_lc")).agg(F.min(row_id).alias("first_row"), F.count("*").alias("n_rows"))
 
 
+#: row ids that one list of a key may span
+LIST_SPAN = 100_000
+
+
+def row_lists(senses: DataFrame, key: Column, name: str, row_id: str = "row_id", span: int = LIST_SPAN) -> DataFrame:
+    """(key, block, ids): the rows of each key in order. Ids are listed by blocks of span, so no list grows with a hot
+    key; the blocks of a key in their order are its whole list."""
+    rows = senses.select(key.alias(name), F.floor(F.col(row_id) / span).cast("long").alias("block"), F.col(row_id).alias("_id"))
+    return rows.groupBy(name, "block").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
+
+
 def unique_definitions(senses: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Each distinct definition with its first row and number of rows: what an embedder is asked once."""
     return senses.groupBy("definition").agg(F.min(row_id).alias("first_row"), F.count("*").alias("n_rows"))

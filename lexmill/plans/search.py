@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.emotion import emotion_columns
-from lexmill.functions.models import Classifier, Embedder, HashedEmbedder, OverlapReranker, PhoneticResolver, Reranker, StressMarker
+from lexmill.functions.models import Classifier, Embedder, HashedEmbedder, IndexResolver, OverlapReranker, PhoneticResolver, Reranker, StressMarker
 from lexmill.functions.score import absolute_relevance, combined_score, cosine, relative_relevance
 from lexmill.operators.filters import category_predicate, check_category, exclude_headword, phonetic_predicate
 from lexmill.operators.order import check_sort, ranked
@@ -76,7 +76,8 @@ class Lexicon:
         self.senses = senses
         self.embedder = embedder or HashedEmbedder()
         self.reranker = reranker or OverlapReranker()
-        self.classifier, self.resolver, self.stress = classifier, resolver, stress
+        self.classifier, self.stress = classifier, stress
+        self.resolver = resolver or (IndexResolver(senses) if "phonetics" in senses.columns else None)
 
     # --- pieces ---
 

@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.emotion import EMOTION_POLARITY, emotion_columns
-from lexmill.functions.phonetics import PHONEME_CODES, mean_consonant_run, phoneme_distance
+from lexmill.functions.models import best_label
+from lexmill.functions.phonetics import PHONEME_CODES, derive, mean_consonant_run, phoneme_distance
 from lexmill.functions.score import absolute_relevance, combined_score, norm, relative_relevance
 from lexmill.operators.filters import CATEGORIES, IDIOM_SLANG_POS, IDIOM_SLANG_TAGS, OLD_TAGS, category_predicate, exclude_headword, phonetic_predicate
-from lexmill.operators.merge import first_spellings, headwords, merge_records, unique_definitions, with_emotions, with_frequency
+from lexmill.operators.merge import first_spellings, headwords, merge_records, row_lists, unique_definitions, with_emotions, with_frequency
 from lexmill.operators.order import INFORMAL_TAGS, SORT_MODES, ranked
 from lexmill.operators.patterns import clause_predicate, clauses_predicate, initials_are, phrase_contains
 from lexmill.operators.vectors import batch_top_k, top_k, usable
 from lexmill.plans.evaluate import case_ranks, recall, synonym_forms
 from lexmill.plans.search import Lexicon
-from lexmill.session import table
-from lexmill.sources.readers import NGRAM_WINDOW, recent_count, wiktionary_senses, word_counts, zipf_scale
-from lexmill.sources.sinks import candidate_preview, result_line
+from lexmill.session import shared_path, table, written_once, written_table
+from lexmill.sources.readers import NGRAM_WINDOW, corpus_total, read_frequency, read_ngrams, read_wordnet, recent_count, wiktionary_senses, word_counts, zipf_scale
+from lexmill.sources.sinks import candidate_preview, read_index, read_word_index, result_line, write_index
 from lexmill.streaming.queries import run_to_table, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,17 +55,28 @@ def lower_headword(rows: DataFrame) -> DataFrame:
     return rows.withColumn("headword_lc", F.lower("headword"))
 
 
+def index_path(spark: SparkSession, d: str) -> str:
+    """The folder of the index over the sense table: built and written once, then queried."""
+
+    def write(path: str) -> None:
+        frequency = table(spark, d, "literary_frequency")
+        senses = lower_headword(with_frequency(metadata(spark, d), frequency))
+        firsts = headwords(metadata(spark, d)).select(F.col("first_row").alias("_first"))
+        senses = senses.join(firsts, senses["row_id"] == F.col("_first"), "left").withColumn("first", F.col("_first").isNotNull()).drop("_first")
+        vectors = usable(table(spark, d, "sense_embeddings"), "row_id", "embedding", DIM)
+        vectors = vectors.select(F.col("key").alias("row_id"), F.col("vec").alias("embedding"), norm(F.col("vec")).alias("norm"))
+        write_index(senses.join(vectors, "row_id", "left"), frequency, path)
+
+    return written_once(spark, d, "index", write)
+
+
 def sense_index(spark: SparkSession, d: str) -> DataFrame:
-    """The sense table as an index: frequency and the mark of a headword's first sense."""
-    senses = lower_headword(with_frequency(metadata(spark, d), table(spark, d, "literary_frequency")))
-    firsts = headwords(metadata(spark, d)).select(F.col("first_row").alias("_first"))
-    return senses.join(firsts, senses["row_id"] == F.col("_first"), "left").withColumn("first", F.col("_first").isNotNull()).drop("_first")
+    """The sense table as an index: frequency, vectors and the mark of a headword's first sense."""
+    return read_index(spark, index_path(spark, d))
 
 
 def embedded_index(spark: SparkSession, d: str) -> DataFrame:
-    vectors = usable(table(spark, d, "sense_embeddings"), "row_id", "embedding", DIM)
-    vectors = vectors.select(F.col("key").alias("row_id"), F.col("vec").alias("embedding"), norm(F.col("vec")).alias("norm"))
-    return sense_index(spark, d).join(vectors, "row_id")
+    return sense_index(spark, d).filter("embedding IS NOT NULL")
 
 
 def first_vector(spark: SparkSession, d: str) -> list[float]:
@@ -448,11 +460,11 @@ _add("stream_word_counts", _stream, SQL["ngram_word_counts"])
 
 
 def _zipf(s: SparkSession, d: str) -> DataFrame:
-    """Frequencies of vocabulary words; the total is that of all words' recent counts."""
-    ngrams = table(s, d, "ngram_counts")
-    total = word_counts(ngrams).agg(F.sum("n")).first()[0] or 1
-    scaled = zipf_scale(word_counts(ngrams, table(s, d, "vocabulary")), total)
-    return scaled.select("word", F.round("zipf", 6).alias("zipf"))
+    """Frequencies of vocabulary words; the total is that of all words' recent counts, which are added up once."""
+    counts = written_table(word_counts(table(s, d, "ngram_counts")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    known = table(s, d, "vocabulary").select(F.lower("word").alias("word")).distinct()
+    return zipf_scale(counts.join(known, "word", "left_semi"), total).select("word", F.round("zipf", 6).alias("zipf"))
 
 
 _add("zipf_frequency", _zipf, f"SELECT word, round(log10(n / (SELECT sum(n) FROM {_COUNTS})::DOUBLE * 1e9), 6) AS zipf FROM {_COUNTS} WHERE word IN (SELECT lower(word) FROM vocabulary)")
@@ -480,6 +492,117 @@ _add(
     "SELECT row_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM sense_embeddings WHERE embedding IS NOT NULL",
 )
 
+# --- what is written and read back ---
+
+_add(
+    "index_read",
+    lambda s, d: sense_index(s, d).select("row_id", "headword_lc", F.round("zipf", 6).alias("zipf"), "first", F.size(F.coalesce("synonyms", F.array().cast("array<string>"))).alias("n_synonyms"), F.round("norm", 6).alias("norm")),
+    f"""SELECT row_id, headword_lc, round(zipf, 6) AS zipf, first, coalesce(len(synonyms), 0)::INT AS n_synonyms, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS norm
+ FROM {_INDEX} LEFT JOIN {_USABLE} USING (row_id)""",
+)
+_add("word_index_read", lambda s, d: read_word_index(s, index_path(s, d)), f"SELECT headword_lc, first_row, n_rows FROM {_FIRSTS}")
+_add("frequency_read", lambda s, d: read_frequency(s, f"{index_path(s, d)}/frequency"), "SELECT word, zipf FROM literary_frequency")
+_JOINED_IDS = "list_aggregate(list(row_id ORDER BY row_id), 'string_agg', ',') AS ids"
+_add(
+    "word_index_rows",
+    lambda s, d: row_lists(metadata(s, d).filter("headword IS NOT NULL"), F.lower("headword"), "headword_lc").withColumn("ids", F.array_join("ids", ",")),
+    f"SELECT lower(headword) AS headword_lc, row_id // 100000 AS block, {_JOINED_IDS} FROM metadata WHERE headword IS NOT NULL GROUP BY 1, 2",
+)
+_add(
+    "definition_rows",
+    lambda s, d: row_lists(metadata(s, d), F.col("definition"), "definition").withColumn("ids", F.array_join("ids", ",")),
+    f"SELECT definition, row_id // 100000 AS block, {_JOINED_IDS} FROM metadata GROUP BY 1, 2",
+)
+
+
+def _wordnet(s: SparkSession, d: str) -> DataFrame:
+    """Synsets and their sentiment written as JSON lines and read as a dictionary dump: a row for each lemma."""
+    rows = metadata(s, d).filter("synset IS NOT NULL AND headword IS NOT NULL")
+    lemmas = F.array_sort(F.collect_set(F.translate("headword", " ", "_"))).alias("lemmas")  # the lemmas of one synset
+    synsets = rows.groupBy("synset").agg(F.min(F.substring("pos", 1, 1)).alias("pos"), F.min("definition").alias("definition"), lemmas)
+    scores = rows.filter("sentiwordnet IS NOT NULL").groupBy("synset").agg(*[F.max(f"sentiwordnet.{c}").alias(c) for c in ("pos", "neg", "obj")])
+    path = shared_path(s, "wordnet")
+    synsets.write.json(f"{path}/synsets")
+    scores.write.json(f"{path}/scores")
+    read = read_wordnet(s, f"{path}/synsets", f"{path}/scores")
+    return read.select("synset", "lemma_no", "headword", "pos", "definition", F.array_join("synonyms", "|").alias("synonyms"), F.col("sentiwordnet.pos").alias("positive"))
+
+
+_add(
+    "wordnet_read",
+    _wordnet,
+    """WITH r AS (SELECT * FROM metadata WHERE synset IS NOT NULL AND headword IS NOT NULL),
+ y AS (SELECT synset, min(pos[1]) AS p, min(definition) AS definition, list_transform(list_sort(list_distinct(list(replace(headword, ' ', '_')))), lambda x: replace(x, '_', ' ')) AS names FROM r GROUP BY synset),
+ c AS (SELECT synset, max(sentiwordnet.pos) AS positive FROM r WHERE sentiwordnet IS NOT NULL GROUP BY synset),
+ e AS (SELECT synset, p, definition, names, unnest(names) AS headword, (unnest(generate_series(1, len(names))) - 1)::INT AS lemma_no FROM y)
+ SELECT synset, lemma_no, headword, CASE p WHEN 'n' THEN 'noun' WHEN 'v' THEN 'verb' WHEN 'a' THEN 'adjective' WHEN 's' THEN 'adjective' WHEN 'r' THEN 'adverb' ELSE p END AS pos, definition,
+ coalesce(list_aggregate(list_filter(names, lambda x: x <> headword), 'string_agg', '|'), '') AS synonyms, positive FROM e LEFT JOIN c USING (synset)""",
+)
+_PLAIN_TOKEN = r"^[^\s\x00-\x1f\x{85}\x{2028}\x{2029}]+$"
+
+
+def _ngram_lines(s: SparkSession, d: str) -> str:
+    """The counts as lines of token and tab-separated years, of tokens without white space or control characters."""
+    path = shared_path(s, "ngrams")
+    rows = table(s, d, "ngram_counts").filter(F.col("token").rlike(_PLAIN_TOKEN) & (F.size("year_counts") > 0))
+    rows.select(F.concat_ws("\t", F.array("token"), F.transform("year_counts", lambda y: F.coalesce(y, F.lit(""))))).write.text(path)
+    return path
+
+
+_PLAIN_SQL = f"(SELECT * FROM ngram_counts WHERE regexp_matches(token, '{_PLAIN_TOKEN}') AND len(year_counts) > 0)"
+_add("ngrams_read", lambda s, d: word_counts(read_ngrams(s, _ngram_lines(s, d))), f"SELECT {_WORD} AS word, sum({_RECENT})::BIGINT AS n FROM {_PLAIN_SQL} WHERE {_RECENT} > 0 GROUP BY 1")
+
+
+def _total(s: SparkSession, d: str) -> DataFrame:
+    """Totals of each year written as a tab-separated file; the sum of the recent ones read from it."""
+    fields = F.split("y", ",")
+    years = table(s, d, "ngram_counts").select(F.explode("year_counts").alias("y")).filter(F.col("y").rlike("^[0-9]{1,4},[0-9]{1,18},[0-9]{1,18}$"))
+    totals = years.groupBy(fields[0].cast("int").alias("year")).agg(F.sum(fields[1].cast("long")).alias("n"))
+    path = shared_path(s, "totals")
+    totals.select(F.concat(F.lit("\t"), F.concat_ws(",", "year", "n", F.lit(1), F.lit(1)))).write.text(path)
+    return s.range(1).select(F.lit(corpus_total(s, path)).cast("long").alias("total"))
+
+
+_add("corpus_total_read", _total, f"SELECT coalesce(sum({_RECENT}), 0)::BIGINT AS total FROM ngram_counts")
+
+# --- pronunciation ---
+
+_PH = "phonetics.phonemes"
+_LAST = f"list_transform({_PH}, lambda p: right(p, 1))"
+_AT = f"coalesce(nullif(list_position({_LAST}, '1'), 0), nullif(list_position(list_transform({_LAST}, lambda c: regexp_matches(c, '[0-9]')), true), 0), 1)"
+_BARE = f"list_transform({_PH}, lambda p: regexp_replace(p, '[012]+$', ''))"
+
+
+def _derived(s: SparkSession, d: str) -> DataFrame:
+    p = derive(F.col(_PH), F.col("phonetics.syllable_count"), F.lit(0), F.array().cast("array<int>"))
+    return metadata(s, d).filter(F.size(_PH) > 0).select("row_id", p.alias("p")).select("row_id", "p.primary_vowel", "p.rhyme_key", "p.meter")
+
+
+_add(
+    "phonetic_derive",
+    _derived,
+    f"""SELECT row_id, list_extract({_BARE}, {_AT}) AS primary_vowel, list_aggregate(list_slice({_BARE}, {_AT}, len({_PH})), 'string_agg', ' ') AS rhyme_key,
+ CASE WHEN phonetics.syllable_count > 0 THEN '/' || repeat('x', phonetics.syllable_count - 1) ELSE '' END AS meter FROM metadata WHERE len({_PH}) > 0""",
+)
+_KNOWN = f"FROM metadata WHERE lower(headword) = 'set' AND len({_PH}) > 0 ORDER BY coalesce(pos <> 'noun', true), row_id LIMIT 1"
+_add("search_rhymes_with", _structural("*e*", top_n=60, rhymes_with="set"), _structural_sql(f"headword_lc LIKE '%e%' AND NOT regexp_matches(headword_lc, '\\n[\\s\\S]') AND phonetics.rhyme_key = (SELECT phonetics.rhyme_key {_KNOWN})", 60))
+_SOUND_CODE = "list_aggregate(list_transform({0}, lambda p: coalesce(list_extract(map_extract(MAP {{{1}}}, regexp_replace(p, '[012]+$', '')), 1), '?')), 'string_agg', '')"
+_OWN_CODE, _SET_CODE = _SOUND_CODE.format(_PH, _CODES), f"(SELECT {_SOUND_CODE.format(_PH, _CODES)} {_KNOWN})"
+_add("search_sounds_like", _structural("*e*", top_n=60, sounds_like="set"), _structural_sql(f"headword_lc LIKE '%e%' AND NOT regexp_matches(headword_lc, '\\n[\\s\\S]') AND len({_PH}) > 0 AND levenshtein({_OWN_CODE}, {_SET_CODE}) / greatest(len({_OWN_CODE}), len({_SET_CODE}), 1) <= 0.34", 60))
+
+
+def _best(s: SparkSession, d: str) -> DataFrame:
+    scores = F.array(*[F.struct(F.lit(label).alias("label"), F.col(f"sentiwordnet.{c}").alias("score")) for label, c in (("Positive", "pos"), ("Negative", "neg"), ("Neutral", "obj"))])
+    return metadata(s, d).filter("sentiwordnet.pos IS NOT NULL AND sentiwordnet.neg IS NOT NULL AND sentiwordnet.obj IS NOT NULL").select("row_id", best_label(scores).alias("label"))
+
+
+_add(
+    "best_label",
+    _best,
+    """SELECT row_id, CASE WHEN sentiwordnet.pos >= sentiwordnet.neg AND sentiwordnet.pos >= sentiwordnet.obj THEN 'positive' WHEN sentiwordnet.neg >= sentiwordnet.obj THEN 'negative' ELSE 'neutral' END AS label
+ FROM metadata WHERE sentiwordnet.pos IS NOT NULL AND sentiwordnet.neg IS NOT NULL AND sentiwordnet.obj IS NOT NULL""",
+)
+
 # --- evaluation ---
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,3 +89,24 @@ def spread(scan: DataFrame) -> DataFrame:
     row. A scan of enough partitions stays as it is, so nothing is shuffled at scale."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; no result that reads it may be in use any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_checkpoint_folder(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _WRITTEN.clear()
+
+
+#: tables written once for an application, by application, source and name
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written_once(spark: SparkSession, source: str, name: str, write: Callable[[str], None]) -> str:
+    """The path of what write leaves there, which happens once for an application and source."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _WRITTEN:
+        path = shared_path(spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def _mapped(values: dict[str, str], column: Column) -> Column:
 
 def must_exist(path: str) -> str:
     """Inputs are never downloaded: a missing local file is named at once."""
-    if "://" not in path and not any(c in path for c in "*?[") and not Path(path).exists():
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]+:", path) and not any(c in path for c in "*?[") and not Path(path).exists():
         raise FileNotFoundError(path)
     return path
 
@@ -150,10 +152,14 @@ def read_emotions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frequency(spark: SparkSession, path: str | None) -> DataFrame:
-    """(word, zipf); empty if there is none."""
-    if path is None or not Path(path).exists():
-        return spark.createDataFrame([], schema.FREQUENCY)
-    return spark.read.schema(schema.FREQUENCY).parquet(path)
+    """(word, zipf); empty if there is none at the path, which may be of any file system."""
+    if path is not None:
+        try:
+            return spark.read.schema(schema.FREQUENCY).parquet(path)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.createDataFrame([], schema.FREQUENCY)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

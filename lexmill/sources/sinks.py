@@ -14,10 +14,12 @@ BETWEEN_LABELS = " · "
 EXACT_TITLE, STRESS, EMOTION, CONFIDENCE, SYNONYMS = "Exact match — ", "Stress: ", "Emotion: ", "Match confidence: ", "Synonyms: "
 
 
-def write_index(senses: DataFrame, frequency: DataFrame, path: str, buckets: int = 64) -> None:
-    """senses, the word index and frequencies as Parquet. Senses are range-partitioned and sorted by headword, so a
+def write_index(senses: DataFrame, frequency: DataFrame, path: str, buckets: int | None = None) -> None:
+    """senses, the word index and frequencies as Parquet; buckets: files of senses, else as many as data ask for. Senses are range-partitioned and sorted by headword, so a
     lookup or a prefix reads the few row groups whose statistics hold it."""
-    spread = senses.repartitionByRange(buckets, "headword_lc", "row_id").sortWithinPartitions("headword_lc", "row_id")
+    by = ("headword_lc", "row_id")
+    spread = senses.repartitionByRange(buckets, *by) if buckets else senses.repartitionByRange(*by)
+    spread = spread.sortWithinPartitions("headword_lc", "row_id")
     spread.write.mode("overwrite").parquet(f"{path}/senses")
     headwords(senses.sparkSession.read.schema(spread.schema).parquet(f"{path}/senses")).write.mode("overwrite").parquet(f"{path}/word_index")
     frequency.write.mode("overwrite").parquet(f"{path}/frequency")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +15,16 @@ from lexmill.session import shared_path
 from lexmill.sources.readers import word_counts
 
 
-def answer_stream(queries: DataFrame, lexicon: Lexicon, sink: Callable[[DataFrame, int], None], top_n: int = CLI_TOP_N, most: int = 1_000) -> DataStreamWriter:
-    """queries: a stream of (query_id, query). Each batch's distinct lines are searched and their flat rows, with the
-    query's id, go to the sink. A batch holds at most `most` queries: set the source's rate limit accordingly."""
+def answer_stream(queries: DataFrame, lexicon: Lexicon, sink: Callable[[DataFrame, int], None], top_n: int = CLI_TOP_N, together: int = 50) -> DataStreamWriter:
+    """queries: a stream of (query_id, query). Each batch's distinct queries are searched and their flat rows, with the
+    query's id, go to the sink, which gets a frame for each `together` of them: it must append. A batch may hold any
+    number of queries; the driver sees them slice by slice."""
 
     def answer(batch: DataFrame, epoch: int) -> None:
-        lines = batch.filter(F.trim("query") != "").limit(most + 1).collect()
-        if len(lines) > most:
-            raise ValueError(f"more than {most} queries in a batch: lower the source's rate")
-        results = [lexicon.search(line["query"], top_n=top_n).rows().withColumn("query_id", F.lit(line["query_id"])) for line in lines]
-        if results:
-            union = results[0]
-            for result in results[1:]:
-                union = union.unionByName(result)
-            sink(union, epoch)
+        lines = batch.filter(F.trim("query") != "").select("query_id", "query").distinct().toLocalIterator()
+        while part := list(islice(lines, together)):
+            results = [lexicon.search(line["query"], top_n=top_n).rows().withColumn("query_id", F.lit(line["query_id"])) for line in part]
+            sink(reduce(DataFrame.unionByName, results), epoch)
 
     return queries.writeStream.foreachBatch(answer)
 
