@@ -4,9 +4,10 @@ A sample of bounded size fits the index: its neighbour graph is cut into balance
 learns, for a vector, the distribution of its neighbours over the partitions. Every vector is then stored in its most
 probable partition and looks for neighbours in several most probable ones, as many as held-out sample vectors need for
 the target recall. Partitions are small and their number grows with the vectors, so that the share of the collection
-that a vector meets falls; partitions that are neighbours stand on one shelf, and a vector travels to a shelf once,
-whatever number of its partitions it visits. Vectors travel in blocks; on a shelf each partition is one matrix product in
-double precision, so no task holds more than a few blocks whatever the size of a shelf. Equal vectors are searched once.
+that a vector meets falls. Vectors don't travel to partitions: they are written once in the order of the partitions, and
+each task takes a block of its vectors through those that they visit, one matrix product in double precision for each
+partition, and holds the best of each vector. So disk is a few times the vectors however many partitions a vector visits,
+and no task holds more than a block and a batch. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.vectors import Best, gathered, matrix
+from lexmill.session import stored_batches, written_files, written_table
+
 DIM = 64
 K = 10
 #: vectors that fit the index, those with the smallest hashes
@@ -27,11 +31,10 @@ FIT_VECTORS = 10_000
 #: sample teaches more partitions
 PARTITION_VECTORS = 100
 TEACHING_VECTORS = 20
-#: partitions that stand on a shelf
-SHELF_PARTITIONS = 30
-#: vectors that are compared as one block, and visits that one group of blocks of a shelf serves
-BLOCK_VECTORS = 2_048
-GROUP_VISITS = 16_384
+#: vectors that a task takes through the members at a time, members of one batch, and vectors of a file of members
+BLOCK_VECTORS = 8_192
+MEMBER_VECTORS = 4_096
+FILE_VECTORS = 500_000
 #: share of the true neighbours of held-out sample vectors that the probed partitions must hold
 TARGET_RECALL = 0.95
 GRAPH_DEGREE = 10
@@ -103,14 +106,13 @@ def _fill(sims: np.ndarray, room: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Router:
-    """A network of one hidden layer, the number of partitions to look in, and the shelf of each partition."""
+    """A network of one hidden layer, and the number of partitions to look in."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
     probes: int
-    shelf: np.ndarray
 
     def scores(self, points: np.ndarray) -> np.ndarray:
         return np.maximum(points.astype(np.float32) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -150,7 +152,7 @@ def fit(sample: np.ndarray, parts: int, target: float = TARGET_RECALL, seed: int
     rng = np.random.default_rng(seed)
     points = unit(sample)
     if parts <= 1 or len(points) <= 2 * K:
-        return Router(np.zeros((points.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1, np.zeros(1, np.int32))
+        return Router(np.zeros((points.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1)
     near = graph(points, GRAPH_DEGREE)
     labels = balanced_partition(points, near, parts, rng)
     targets = np.zeros((len(points), parts), np.float32)
@@ -158,16 +160,13 @@ def fit(sample: np.ndarray, parts: int, target: float = TARGET_RECALL, seed: int
     np.add.at(targets, (np.arange(len(points)), labels), near.shape[1] / 2)
     targets /= targets.sum(1, keepdims=True)
     held = rng.permutation(len(points)) < max(200, len(points) // 10)
-    centres = unit(np.stack([points[labels == p].mean(0) if (labels == p).any() else points[p] for p in range(parts)]))
-    shelves = -(-parts // SHELF_PARTITIONS)
-    shelf = balanced_partition(centres, graph(centres, 4), shelves, rng).astype(np.int32) if shelves > 1 else np.zeros(parts, np.int32)
-    draft = Router(*train(points[~held], targets[~held], rng), 1, shelf)
+    draft = Router(*train(points[~held], targets[~held], rng), 1)
     home = draft.route(points, 1)[:, 0]
     routes = draft.route(points[held], parts)
     place = np.empty_like(routes)  # of each partition on the route of a held-out vector
     np.put_along_axis(place, routes, np.broadcast_to(np.arange(parts), routes.shape), 1)
     probes = int(np.sort(np.take_along_axis(place, home[near[held]], 1).ravel())[int(np.ceil(target * near[held].size)) - 1]) + 1
-    return Router(*train(points, targets, rng), probes, shelf)
+    return Router(*train(points, targets, rng), probes)
 
 
 def _key(vector: Column) -> list[Column]:
@@ -190,103 +189,78 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("ka", "kb").agg(F.min("id").alias("rid"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec"))
 
 
-def sample_vectors(distinct: DataFrame, size: int) -> np.ndarray:
-    """A bounded sample to the driver: the vectors with the smallest keys, which are hashes."""
-    rows = distinct.orderBy("ka", "kb").limit(size).select("vec").toPandas()
-    return np.stack(rows["vec"].to_numpy()) if len(rows) else np.empty((0, DIM), np.float32)
+def sample_vectors(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """The number of distinct vectors, and a bounded sample of them to the driver: those with the smallest keys, which
+    are hashes. Only keys are shuffled to find which."""
+    keys = written_table(rows.select("ka", "kb").distinct(), "keys")
+    last = keys.orderBy("ka", "kb").limit(size).agg(F.max(F.struct("ka", "kb")).alias("last")).first()["last"]
+    if last is None:
+        return 0, np.empty((0, DIM), np.float32)
+    wanted = rows.filter((F.col("ka") < last["ka"]) | ((F.col("ka") == last["ka"]) & (F.col("kb") <= last["kb"])))
+    found = wanted.groupBy("ka", "kb").agg(F.first("vec").alias("vec")).orderBy("ka", "kb").select("vec").toPandas()
+    return keys.count(), np.stack(found["vec"].to_numpy())
 
 
-def routed(distinct: DataFrame, router: Router) -> DataFrame:
-    """A row for each vector and shelf to visit with the partitions there; part is the most probable one, where the
-    vector is stored, on its shelf and -1 on others."""
+def placed(distinct: DataFrame, router: Router) -> DataFrame:
+    """distinct with part, the most probable partition of each vector."""
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec = batch.column(1)
-            to = router.route(unit(_matrix(vec)))
-            row = np.repeat(np.arange(len(to)), to.shape[1])
-            part, shelf = to.ravel(), router.shelf[to.ravel()]
-            order = np.lexsort((part, shelf, row))
-            row, part, shelf = row[order], part[order], shelf[order]
-            opens = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])])
-            at, shelf = row[opens], shelf[opens]
-            home = np.where(router.shelf[to[at, 0]] == shelf, to[at, 0], -1)
-            parts = pa.ListArray.from_arrays(pa.array(np.r_[opens, len(part)], pa.int32()), pa.array(part, pa.int32()))
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(shelf, pa.int32()), pa.array(home, pa.int32()), parts, batch.column(0).take(take), vec.take(take)], names=["shelf", "part", "parts", "rid", "vec"])
-
-    return distinct.select("rid", "vec").mapInArrow(route, "shelf int, part int, parts array<int>, rid long, vec array<float>")
-
-
-def _matrix(vec: pa.Array) -> np.ndarray:
-    return vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
-
-
-def in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Members and visits of each shelf packed into blocks of about so many vectors. sizes: a row for each shelf with its
-    members and visits.
-
-    A shelf's visits are dealt to groups of bounded size and its members copied to each group, so that a shelf of any
-    size is many tasks. Both sides are shuffled once, by shelf and group: packing and joining keep that layout.
-    """
-    groups = F.greatest(F.lit(1), F.ceil(F.col("visits") / F.lit(GROUP_VISITS))).cast("int")
-    sizes = F.broadcast(sizes.withColumn("groups", groups))  # a row for each shelf
-    dealt = F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int")
-    member_block = F.pmod(F.xxhash64(F.lit("m"), "rid"), F.ceil(F.col("members") / F.lit(block)).cast("int"))
-    visit_block = F.pmod(F.xxhash64(F.lit("v"), "rid"), F.ceil(F.col("visits") / (F.col("groups") * F.lit(block))).cast("int"))
-    placed = rows.join(sizes, "shelf")
-    members = placed.filter("part >= 0").select("shelf", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), member_block.alias("block"), "rid", "vec", "part")
-    visits = placed.select("shelf", dealt.alias("group"), visit_block.alias("block"), "rid", "vec", "parts")
-    pack = lambda side, name, has: side.repartition("shelf", "group").groupBy("shelf", "group", "block").agg(F.collect_list(F.struct("rid", "vec", has)).alias(name)).drop("block")
-    return pack(members, "members", "part"), pack(visits, "queries", "parts")
-
-
-#: score of a candidate: cosine in millionths, negative so that ascending order is by cosine, then by id
-_CANDIDATES = "rid long, found array<struct<score:int,id:long>>"
-
-
-NOTHING = np.iinfo(np.int64).max
-
-
-def best_keys(queries: np.ndarray, members: np.ndarray, places: np.ndarray, total: int, k: int) -> np.ndarray:
-    """The k best members of each query, each as one number that rises with the cosine in millionths falling, then with
-    the member's place among total ones in the order of their ids."""
-    keys = -np.rint((queries @ members.T) * 1e6).astype(np.int64) * total + places
-    return np.partition(keys, k - 1, axis=1)[:, :k] if k < keys.shape[1] else keys
-
-
-def compare_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """The k + 1 best distinct vectors of a member block for each vector of a query block, of the partitions it visits."""
+            if batch.num_rows:
+                part = router.route(unit(matrix(batch.column("vec"))), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", *batch.schema.names])
+
+    return distinct.mapInArrow(place, "part int, rid long, ids array<long>, ka long, kb long, vec array<float>")
+
+
+def search(distinct: DataFrame, files: list[str], router: Router, k: int, block: int, members: int) -> DataFrame:
+    """(ids, ka, kb, found): the k + 1 best ids for each distinct vector, its own among them. A task takes a block of
+    vectors through the members of the partitions that they visit, in the order of the files, and holds the best of each
+    vector; a member stands for its smallest ids."""
+    schema = "ids array<long>, ka long, kb long, found array<long>"
+
+    def nearest(rows: pa.Table) -> pa.RecordBatch:
+        points = unit(matrix(rows["vec"].combine_chunks()))
+        to = router.route(points)
+        visited = np.sort(to.ravel(), kind="stable")
+        visitor = (np.argsort(to.ravel(), kind="stable") // to.shape[1]).astype(np.int64)
+        best = Best(len(points), k + 1)
+        copies: dict[int, list[int]] = {}
+        for batch in stored_batches(files, ["part", "rid", "ids", "vec"], members):
+            part, rid, ids = batch.column("part").to_numpy(), batch.column("rid").to_numpy(), batch.column("ids")
+            others = unit(matrix(batch.column("vec")))
+            order = np.argsort(part, kind="stable")
+            here, opens = np.unique(part[order], return_index=True)
+            seen = np.zeros(len(rid), bool)
+            for p, at in zip(here, np.split(order, opens[1:]), strict=True):
+                who = visitor[np.searchsorted(visited, p) : np.searchsorted(visited, p, "right")]
+                if len(who):
+                    best.meet(who, points[who] @ others[at].T, rid[at])
+                    seen[at] = True
+            several = np.flatnonzero(seen & (ids.value_lengths().to_numpy() > 1))
+            if len(several):
+                best.settle()
+                several = several[np.isin(rid[several], best.id)]  # only what some vector still holds
+                copies.update(zip(rid[several].tolist(), ids.take(pa.array(several)).to_pylist(), strict=True))
+        best.settle()
+        query, score, found = best.query, best.score, best.id
+        held = np.isin(found, np.fromiter(copies, np.int64, len(copies)))
+        if held.any():
+            more = [copies[i] for i in found[held].tolist()]
+            times = [len(x) for x in more]
+            query, score, found = (np.concatenate(x) for x in ((query[~held], np.repeat(query[held], times)), (score[~held], np.repeat(score[held], times)), (found[~held], np.concatenate(more))))
+            order = np.lexsort((found, score, query))
+            query, found = query[order], found[order]
+            kept = np.arange(len(query)) - np.searchsorted(query, query) <= k
+            query, found = query[kept], found[kept]
+        ends = np.searchsorted(query, np.arange(len(points) + 1))
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("ids", "ka", "kb")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))], names=["ids", "ka", "kb", "found"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, m in zip(batch.column(0), batch.column(1), strict=True):
-                q, m = q.values, m.values
-                ids = m.field("rid").to_numpy()
-                order = np.argsort(ids, kind="stable")
-                ids, part = ids[order], m.field("part").to_numpy()[order]
-                queries, members = unit(_matrix(q.field("vec"))), unit(_matrix(m.field("vec")))[order]
-                visits = q.field("parts")
-                visitor, visited = np.repeat(np.arange(len(queries)), visits.value_lengths().to_numpy()), visits.flatten().to_numpy()
-                here = np.unique(part)
-                best = np.full((len(queries), len(here), k + 1), NOTHING)
-                for n, p in enumerate(here):
-                    rows, at = visitor[visited == p], np.flatnonzero(part == p)
-                    if len(rows):
-                        keys = best_keys(queries[rows], members[at], at, len(ids), k + 1)
-                        best[rows, n, : keys.shape[1]] = keys
-                best = best.reshape(len(queries), -1)
-                if best.shape[1] > k + 1:
-                    best = np.partition(best, k, axis=1)[:, : k + 1]
-                kept = best != NOTHING
-                ends = pa.array(np.r_[0, np.cumsum(kept.sum(1))], pa.int32())
-                best = best[kept]
-                found = pa.StructArray.from_arrays([pa.array(best // len(ids), pa.int32()), pa.array(ids[best % len(ids)], pa.int64())], ["score", "id"])
-                yield pa.RecordBatch.from_arrays([q.field("rid"), pa.ListArray.from_arrays(ends, found)], names=["rid", "found"])
-
-    return pairs.select("queries", "members").mapInArrow(compare, _CANDIDATES)
+        for rows in gathered(batches, block):
+            yield nearest(rows)
+
+    return distinct.select("ids", "ka", "kb", "vec").mapInArrow(compare, schema)
 
 
 def nearest(vectors: DataFrame, key: str = "row_id", vector: str = "embedding", k: int = K, dim: int = DIM, fit_vectors: int = FIT_VECTORS, partition_vectors: int = PARTITION_VECTORS, block: int = BLOCK_VECTORS, target: float = TARGET_RECALL) -> DataFrame:
@@ -296,24 +270,17 @@ def nearest(vectors: DataFrame, key: str = "row_id", vector: str = "embedding",
     non-finite number, all-zero ones and ones of another length are left out on both sides. Equal vectors, however many,
     are neighbours of each other at no extra cost: the smallest k + 1 ids stand for all of them.
     """
-    from lexmill.session import cut_lineage
-
     rows = usable(vectors, key, vector, dim)
-    distinct = cut_lineage(distinct_vectors(rows, k))
-    total = distinct.count()
+    total, sample = sample_vectors(rows, fit_vectors)
     parts = max(1, min(fit_vectors // TEACHING_VECTORS, total // partition_vectors))
-    router = fit(sample_vectors(distinct, fit_vectors), parts, target) if total else fit(np.ones((1, dim)), 1)
-    rows_of = routed(distinct, router)
-    sizes = rows_of.groupBy("shelf").agg(F.count(F.when(F.col("part") >= 0, 1)).alias("members"), F.count("*").alias("visits"))
-    members, queries = in_blocks(rows_of, sizes.filter("members > 0"), block)
-    found = compare_blocks(queries.join(members, ["shelf", "group"]), k)
-    best = found.groupBy("rid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
-    # copies: each distinct neighbour stands for its smallest ids, the vector itself among them with cosine 1
-    expanded = best.select("rid", F.posexplode("found").alias("n", "f")).select("rid", "f.score", F.col("f.id").alias("other"))
-    ids = distinct.select(F.col("rid").alias("other"), "ids")
-    lists = expanded.join(ids, "other").select("rid", F.transform("ids", lambda i: F.struct(F.col("score"), i.alias("id"))).alias("found"))
-    lists = lists.groupBy("rid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
-    lists = lists.join(distinct.select("rid", "ka", "kb"), "rid")
-    own = rows.select("id", "ka", "kb").join(lists.select("ka", "kb", "found"), ["ka", "kb"])
-    others = F.slice(F.filter("found", lambda f: f["id"] != F.col("id")), 1, k)
-    return own.select("id", F.explode(others).alias("f")).select("id", F.col("f.id").alias("neighbour_id"))
+    router = fit(sample, parts, target) if total else fit(np.ones((1, dim)), 1)
+    files = max(1, min(parts, max(-(-total // FILE_VECTORS), rows.sparkSession.sparkContext.defaultParallelism)))
+    members = placed(distinct_vectors(rows, k).select("rid", "ids", "ka", "kb", "vec"), router)
+    members = written_table(members.repartitionByRange(files, "part", "ka").sortWithinPartitions("part"), "members")
+    found = written_table(search(members, written_files(members), router, k, block, MEMBER_VECTORS), "found")
+    others = lambda i: F.explode(F.slice(F.filter("found", lambda f: f != i), 1, k)).alias("neighbour_id")
+    listed = found.select(F.explode("ids").alias("id"), "found").select("id", others(F.col("id")))
+    # the other copies of a vector that has more than are listed
+    many = found.filter(F.size("ids") > k).select("ka", "kb", F.element_at("ids", -1).alias("last"), "found")
+    more = rows.select("id", "ka", "kb").join(many, ["ka", "kb"]).filter("id > last")
+    return listed.unionByName(more.select("id", others(F.col("id"))))
